@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm import bpe, packing
+from spanlight.llm import bpe, packing, toxicity
 from spanlight.session import table
 
-DOC_PARTITION_BYTES = 8 << 20
-
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "documents").select(*columns)
@@ -55,5 +53,26 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# -- 8: abusive content -----------------------------------------------------------------------------------
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, score, insult, threat, demeaning, sexual, flagged`` of every document."""
+    docs = documents(spark, sf, "doc_id", "text")
+    chain = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf, "doc_labels")))
+    return toxicity.score_documents(docs, chain)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_scores(spark, sf).where("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagged documents and mean scores per source; a null source is a group of its own."""
+    scored = p8_scores(spark, sf).join(documents(spark, sf, "doc_id", "source"), "doc_id")
+    return scored.groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.sum(F.col("flagged").cast("long")).alias("n_flagged"),
+        F.round(F.avg(F.col("flagged").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p6_counts, p7_assignments, p7_fill)}
+    return {f.__name__: f for f in (p6_ids, p6_counts, p7_assignments, p7_fill, p8_found, p8_scores, p8_rates)}
