@@ -64,10 +64,10 @@ _simple("detect_selector_n_of", "security_events", SE, "  x_a: {category: dns}\n
 _simple("detect_selector_all_of", "events", ["event_id"], "  a: {event_type: purchase}\n  b: {value|gt: 50}\n  _c: {user_id: 1}\n  condition: all of them", "event_type = 'purchase' AND value > 50")
 _simple("detect_list_of_maps", "events", ["event_id"], "  s:\n    - {event_type: error, value|gt: 100}\n    - {event_type: view}\n  condition: s", "(event_type = 'error' AND value > 100) OR event_type = 'view'")
 _simple("detect_many_substrings", "documents", ["doc_id"], "  s: {text|contains: [certutil, rundll32, mshta, wscript, cscript, regsvr32, bitsadmin, powershell, python3]}\n  condition: s", "regexp_matches(text, '(?i)certutil|rundll32|mshta|wscript|cscript|regsvr32|bitsadmin|powershell|python3')")
-_simple("detect_array_any", "stix_reports", ["id", "added_at"], "  s:\n    'object_refs[any]': '*malware--*'\n  condition: s", "coalesce(len(list_filter(object_refs, x -> contains(lower(x), 'malware--'))) > 0, false)")
-_simple("detect_array_all", "risk_incidents", ["risk_incident_id", "emitted_at"], "  s:\n    'tactics[all]': ['*execution*', '*stealth*']\n  condition: s", "coalesce(len(tactics) > 0 AND len(list_filter(tactics, x -> contains(lower(x), 'execution') OR contains(lower(x), 'stealth'))) = len(tactics), false)")
-_simple("detect_array_none", "risk_incidents", ["risk_incident_id", "emitted_at"], "  s:\n    'tactics[none]': execution\n  condition: s", "coalesce(len(list_filter(tactics, x -> lower(x) = 'execution')), 0) = 0")
-_simple("detect_array_member", "embeddings", ["vec_id"], "  s: {embedding|gt: 0.3}\n  condition: s", "len(list_filter(embedding, x -> x > 0.3)) > 0")
+_simple("detect_array_any", "stix_reports", ["id", "added_at"], "  s:\n    'object_refs[any]': '*malware--*'\n  condition: s", "coalesce(len(list_filter(object_refs, lambda x: contains(lower(x), 'malware--'))) > 0, false)")
+_simple("detect_array_all", "risk_incidents", ["risk_incident_id", "emitted_at"], "  s:\n    'tactics[all]': ['*execution*', '*stealth*']\n  condition: s", "coalesce(len(tactics) > 0 AND len(list_filter(tactics, lambda x: contains(lower(x), 'execution') OR contains(lower(x), 'stealth'))) = len(tactics), false)")
+_simple("detect_array_none", "risk_incidents", ["risk_incident_id", "emitted_at"], "  s:\n    'tactics[none]': execution\n  condition: s", "coalesce(len(list_filter(tactics, lambda x: lower(x) = 'execution')), 0) = 0")
+_simple("detect_array_member", "embeddings", ["vec_id"], "  s: {embedding|gt: 0.3}\n  condition: s", "len(list_filter(embedding, lambda x: x > 0.3)) > 0")
 _simple("detect_array_index", "embeddings", ["vec_id"], "  s: {'embedding[0]|gt': 0.1, 'embedding[-1]|lt': 0}\n  condition: s", "embedding[1] > 0.1 AND embedding[-1] < 0")
 
 
@@ -238,7 +238,7 @@ def _(spark, sf):
 @_query("corr_introspect", f"""
 WITH m AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, {TS} AS t FROM events WHERE event_type = 'error'),
 l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) = 1)
-SELECT l.user_id, l.t AS ts, CAST(count(*) AS DOUBLE) AS value, 3.0 - count(*) AS missing FROM l JOIN m b ON l.user_id = b.user_id AND b.t BETWEEN l.t - 172800 AND l.t GROUP BY 1, 2""")
+SELECT l.user_id, l.t AS ts, CAST(count(*) AS DOUBLE) AS value, CAST(3 - count(*) AS DOUBLE) AS missing FROM l JOIN m b ON l.user_id = b.user_id AND b.t BETWEEN l.t - 172800 AND l.t GROUP BY 1, 2""")
 def _(spark, sf):
     rules, c = _correlation("  {type: event_count, rules: [errors], group-by: [user_id], timespan: 2d, condition: {gte: 3}}")
     rows = C.matches(table(spark, sf, "events"), rules, c, "ts", "event_id")
