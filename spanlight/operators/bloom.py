@@ -40,8 +40,9 @@ def build(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
 def probe(df: DataFrame, key: str, bloom: DataFrame, blocks: int = BLOCKS, flag: str = "maybe") -> DataFrame:
     """Add ``flag``: false where ``key`` certainly was not among the filter's keys. Null keys give false."""
     block, bits = _place(df[key], blocks)
-    joined = df.withColumn("__bf", block).join(F.broadcast(bloom), F.col("__bf") == F.col("bf_block"), "left")
-    words = F.array(*[F.col(f"bf_w{w}") for w in range(WORDS)])
+    own = bloom.select(F.col("bf_block").alias("__bf_block"), *[F.col(f"bf_w{w}").alias(f"__bf_w{w}") for w in range(WORDS)])
+    joined = df.withColumn("__bf", block).join(F.broadcast(own), F.col("__bf") == F.col("__bf_block"), "left")
+    words = F.array(*[F.col(f"__bf_w{w}") for w in range(WORDS)])
     tests = [
         F.call_function("getbit", F.element_at(words, (F.shiftright(b, 6) + 1).cast("int")), b.bitwiseAND(63)) == 1
         for b in bits

@@ -27,7 +27,8 @@ def rule_fields(rule: Rule) -> list[str]:
             for x in body:
                 walk(x)
 
-    walk(rule.detection)
+    for body in rule.detection.values():
+        walk(body)
     return list(out)
 
 

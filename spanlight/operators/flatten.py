@@ -128,8 +128,11 @@ def walk(record, prefix: str = "", indices: tuple[int, ...] = (), depth: int = 0
 
 
 def select_path(record, names: list[str], path: str = "", indices: tuple[int, ...] = ()) -> Iterator[tuple[str, tuple[int, ...], str | None, str]]:
-    """The leaves at exactly ``names`` from the top, through arrays, dotted keys and objects given as text."""
+    """The leaves at exactly ``names`` from the top, through arrays (``MAX_DEPTH`` deep), dotted keys and objects
+    given as text."""
     record = _as_object(record) if path else record
+    if len(indices) > MAX_DEPTH:
+        return
     if isinstance(record, list) and path:
         for i, value in enumerate(record):
             yield from select_path(value, names, f"{path}[]", (*indices, i))
