@@ -32,7 +32,7 @@ def clean_id(column: Column) -> Column:
 
 
 def _labelled(name: str, values: Column) -> Column:
-    present = F.array_distinct(F.coalesce(values, F.array().cast("array<string>")))
+    present = F.coalesce(values, F.array().cast("array<string>"))
     return F.transform(present, lambda x: F.struct(F.lit(name).alias("ref_field"), x.alias("target")))
 
 

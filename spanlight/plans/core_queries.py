@@ -143,3 +143,46 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         p1_found, p1_report, p2_found, p2_durations, p3_found, p3_groups, p3_external_references, p4_found, p4_coverage, p5_found, p5_zones,
     )}
+
+
+_CLEAN = "nullif(lower(trim({0}, E' \\t\\n\\r')), '')"
+
+
+def _sql_references() -> str:
+    parts = []
+    for name, fields in REFERRING.items():
+        for f in fields:
+            value = f"unnest({f})" if f.endswith("_refs") else f
+            parts.append(f"SELECT '{name}' AS src_table, id AS record_id, '{f}' AS ref_field, {value} AS target, added_at AS seen_at FROM {name}")
+    refs = " UNION ALL ".join(parts)
+    parents = " UNION ALL ".join(f"SELECT id, added_at, deleted_at FROM {n}" for n in PARENTS)
+    return f"""
+r AS (SELECT src_table, record_id, ref_field, {_CLEAN.format('target')} AS target_id, seen_at FROM ({refs}) WHERE seen_at IS NOT NULL),
+p AS (SELECT {_CLEAN.format('id')} AS id, added_at, deleted_at FROM ({parents})),
+d AS (SELECT DISTINCT target_id, seen_at FROM r WHERE target_id IS NOT NULL),
+j AS (SELECT d.target_id, d.seen_at, count(p.id) AS n, count(*) FILTER (p.added_at <= d.seen_at) AS so_far,
+  count(*) FILTER (p.added_at <= d.seen_at AND (p.deleted_at IS NULL OR d.seen_at < p.deleted_at)) AS alive FROM d LEFT JOIN p ON p.id = d.target_id GROUP BY 1, 2),
+o AS (SELECT r.*, CASE WHEN n = 0 THEN 'missing' WHEN so_far = 0 THEN 'late' ELSE 'deleted' END AS reason, strftime(r.seen_at, '%Y-%m') AS period
+  FROM r JOIN j ON r.target_id = j.target_id AND r.seen_at = j.seen_at WHERE alive = 0)"""
+
+
+_SQL_PERIODS = f"""
+w AS (SELECT entity_type, {_CLEAN.format('entity_value')} AS entity_value,
+  CASE WHEN window_start > 1000000000000 THEN window_start // 1000 ELSE window_start END AS s,
+  CASE WHEN window_end > 1000000000000 THEN window_end // 1000 ELSE window_end END AS e FROM risk_incidents),
+v AS (SELECT * FROM w WHERE entity_value IS NOT NULL AND s <= e),
+m AS (SELECT *, max(e) OVER (PARTITION BY entity_type, entity_value ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
+i AS (SELECT *, sum(CASE WHEN s > before THEN 1 ELSE 0 END) OVER (PARTITION BY entity_type, entity_value ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+q AS (SELECT entity_type, entity_value, island, min(s) AS s, max(e) AS e FROM i GROUP BY ALL),
+f AS (SELECT entity_type, entity_value, 'period' AS kind, s AS start_s, e AS end_s FROM q UNION ALL
+  SELECT entity_type, entity_value, 'gap', e, lead(s) OVER (PARTITION BY entity_type, entity_value ORDER BY island) FROM q QUALIFY lead(s) OVER (PARTITION BY entity_type, entity_value ORDER BY island) IS NOT NULL)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that SQL can express; the others are tested against plain versions."""
+    return {
+        "p1_found": f"WITH {_sql_references()} SELECT DISTINCT src_table, record_id, ref_field, target_id, reason, period FROM o",
+        "p1_report": f"WITH {_sql_references()}, u AS (SELECT DISTINCT * FROM o) SELECT src_table, ref_field, reason, period, count(*) AS n_references, count(DISTINCT target_id) AS n_targets FROM o GROUP BY ALL",
+        "p4_found": f"WITH {_SQL_PERIODS} SELECT * FROM f",
+        "p4_coverage": f"WITH {_SQL_PERIODS} SELECT entity_type, kind, count(*) AS n, sum(end_s - start_s)::BIGINT AS total_s, max(end_s - start_s)::BIGINT AS longest_s FROM f GROUP BY ALL",
+    }
