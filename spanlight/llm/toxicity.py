@@ -110,7 +110,7 @@ def _token(raw: str) -> str:
     if "." in core[1:-1] or core[0] == "@" or (at > 0 and "." in core[at:]) or "/" in core or "\\" in core or ":" in core or "=" in core:
         return "<n>"
     digits = sum(c.isdigit() for c in core)
-    if "-" in core and digits or digits > 3 or digits * 2 > len(core):
+    if digits and ("-" in core or digits > 4 or len(core) - digits < 2 or len(core) > 24):
         return "<n>"
     return _fold(core)
 
