@@ -70,8 +70,8 @@ def detect(
     resolver = Resolver(events.schema, set(json), mapping or {})
     kept = [F.col(f"`{c}`") for c in (keep if keep is not None else events.columns)]
     if not compiled:
-        probe = F.lit(None).cast("string")
-        none = [probe.alias("rule_title"), probe.alias("rule_id"), probe.alias("level"), probe.cast("array<string>").alias("tags"), probe.cast("array<string>").alias("matched_selections"), F.array().cast("array<struct<field:string,value:string>>").alias("matched_fields")]
+        text, texts = (lambda: F.lit(None).cast("string")), (lambda: F.lit(None).cast("array<string>"))
+        none = [text().alias("rule_title"), text().alias("rule_id"), text().alias("level"), texts().alias("tags"), texts().alias("matched_selections"), F.array().cast("array<struct<field:string,value:string>>").alias("matched_fields")]
         return events.select(*kept, *none).where(F.lit(False))
     groups = [F.array(*[F.when(c.predicate, _result(c, resolver, detail)) for c in compiled[i : i + GROUP]]) for i in range(0, len(compiled), GROUP)]
     found = F.filter(F.concat(*groups) if len(groups) > 1 else groups[0], lambda x: x.isNotNull())

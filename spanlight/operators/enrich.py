@@ -53,7 +53,8 @@ def call(rows: DataFrame, name: str, function: Callable[[pd.Series], pd.Series],
                     answers[value] = function(pd.Series([value])).iloc[0]
                 except Exception:  # noqa: BLE001 - an outside failure is data here
                     failed.add(value)
-            yield pdf.assign(**{name: pdf[argument].map(answers), "__ok": ~pdf[argument].isin(failed)})
+            asked_for = pdf[argument].tolist()
+            yield pdf.assign(**{name: [answers.get(v) for v in asked_for], "__ok": [v not in failed for v in asked_for]})
 
     out = rows.mapInPandas(run, schema)
     if on_error == "drop":

@@ -31,7 +31,7 @@ def json_map(line: Column) -> Column:
     return F.from_json(line, "map<string,string>")
 
 
-SYSLOG_5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\\\]|\\\\.)*\])+) ?(.*)$"
+SYSLOG_5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[(?:[^\]\\]|\\.)*\])+) ?(.*)$"
 SYSLOG_3164 = r"^<(\d{1,3})>(?:([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2})|(\d{4}-\d{2}-\d{2}T\S+)) (\S+) ([^:\[ ]+)(?:\[(\d+)\])?: ?(.*)$"
 
 
@@ -64,7 +64,7 @@ def syslog_map(line: Column) -> Column:
     return F.when(is_new | is_old, _map(F.filter(all_pairs, lambda p: p.value.isNotNull())))
 
 
-CEF = r"CEF:(\d+)\|((?:[^|\\\\]|\\\\.)*)\|((?:[^|\\\\]|\\\\.)*)\|((?:[^|\\\\]|\\\\.)*)\|((?:[^|\\\\]|\\\\.)*)\|((?:[^|\\\\]|\\\\.)*)\|((?:[^|\\\\]|\\\\.)*)\|(.*)$"
+CEF = r"CEF:(\d+)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|(.*)$"
 
 
 def cef_map(line: Column) -> Column:
