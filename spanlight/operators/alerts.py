@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlight.operators import scan
 from spanlight.rules.match import java_regex
 from spanlight.session import materialise, ship_package
 
@@ -112,9 +113,7 @@ def fnv1a(*texts: Column) -> Column:
 def dedup(alerts: DataFrame, by: list[str], resolve_s: int) -> DataFrame:
     """One row per island of equal alerts: a fingerprint of ``by`` stays open until no such alert has come for
     more than ``resolve_s`` seconds. Result: ``by, fingerprint, first_ts, last_ts, n, first_seq, resolved_ts``."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w) > resolve_s).cast("int"), F.lit(0))
-    islands = alerts.withColumn("__new", fresh).withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = scan.islands(alerts, by, "ts", ["seq"], resolve_s, "__i")
     ship_package(alerts.sparkSession)
     out = islands.groupBy(*by, "__i").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.min_by("seq", F.struct("ts", "seq")).alias("first_seq"))
     return out.withColumn("fingerprint", fnv1a(*[F.col(c) for c in by])).withColumn("resolved_ts", F.col("last_ts") + resolve_s).drop("__i")
@@ -122,9 +121,7 @@ def dedup(alerts: DataFrame, by: list[str], resolve_s: int) -> DataFrame:
 
 def repeats(alerts: DataFrame, by: list[str], resolve_s: int, repeat_s: int) -> DataFrame:
     """The alerts that are passed on: an island's first, and then the first after each ``repeat_s`` seconds."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w) > resolve_s).cast("int"), F.lit(0))
-    islands = alerts.withColumn("__new", fresh).withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = scan.islands(alerts, by, "ts", ["seq"], resolve_s, "__i")
     inside = Window.partitionBy(*by, "__i")
     step = F.floor((F.col("ts") - F.min("ts").over(inside)) / repeat_s)
     first = F.row_number().over(Window.partitionBy(*by, "__i", "__step").orderBy("ts", "seq"))
@@ -133,9 +130,7 @@ def repeats(alerts: DataFrame, by: list[str], resolve_s: int, repeat_s: int) ->
 
 def incidents(alerts: DataFrame, by: list[str], resolve_s: int) -> DataFrame:
     """Alerts grouped by their selectors into incidents, each ended by ``resolve_s`` quiet seconds."""
-    w = Window.partitionBy(*by).orderBy("ts", "seq")
-    fresh = F.coalesce((F.col("ts") - F.lag("ts").over(w) > resolve_s).cast("int"), F.lit(0))
-    islands = alerts.withColumn("__new", fresh).withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = scan.islands(alerts, by, "ts", ["seq"], resolve_s, "__i")
     return (
         islands.groupBy(*by, "__i")
         .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_alerts"), F.count_distinct("rule_title").alias("n_rules"), F.array_sort(F.collect_set("level")).alias("levels"))

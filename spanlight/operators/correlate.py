@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlight.operators import scan
 from spanlight.rules.compile import compile_collection
 from spanlight.rules.fields import Resolver, number_of, text_of
 from spanlight.rules.model import Collection, Correlation, RuleError
@@ -175,11 +176,9 @@ def with_sessions(rows: DataFrame, keys: list[str], gap: int, cap: int) -> DataF
     """Add ``bucket``: the session's first second. Gaps cut first; only the sessions that outlast the cap are
     folded in order, each by itself."""
     ship_package(rows.sparkSession)
-    w = Window.partitionBy(*keys).orderBy("ts", "seq", "rule")
-    cut = (F.col("ts") - F.lag("ts").over(w) > gap).cast("int")
-    stretched = rows.withColumn("__new", F.coalesce(cut, F.lit(0))).withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretched = scan.islands(rows, keys, "ts", ["seq", "rule"], gap, "__s")
     inside = Window.partitionBy(*keys, "__s")
-    stretched = stretched.withColumn("__first", F.min("ts").over(inside)).withColumn("__last", F.max("ts").over(inside)).drop("__new")
+    stretched = stretched.withColumn("__first", F.min("ts").over(inside)).withColumn("__last", F.max("ts").over(inside))
     short = stretched.where(F.col("__last") - F.col("__first") <= cap).withColumn("bucket", F.col("__first"))
     long = stretched.where(F.col("__last") - F.col("__first") > cap)
     moments = long.select(*keys, "__s", "ts").distinct()
@@ -230,8 +229,7 @@ def suppress(fires: DataFrame, keys: list[str], mute: int) -> DataFrame:
         return pdf[keep]
 
     # firings further apart than the mute time do not touch each other: islands are folded by themselves
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    islands = fires.withColumn("__i", F.sum(F.coalesce((F.col("ts") - F.lag("ts").over(w) >= mute).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = scan.islands(fires, keys, "ts", ["seq"], mute, "__i", inclusive=True)
     return islands.groupBy(*keys, "__i").applyInPandas(lambda pdf: run(pdf.drop(columns="__i")), schema)
 
 

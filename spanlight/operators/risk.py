@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlight.operators import scan
 from spanlight.operators.correlate import BLOCK_S, SPARE, TIE
 from spanlight.session import ship_package
 
@@ -68,8 +69,7 @@ def risk_incidents(alerts: DataFrame, keys: list[str], window_s: int, score: flo
     if not cooldown_s:
         return fires
     ship_package(alerts.sparkSession)
-    order = Window.partitionBy(*keys).orderBy("ts", "seq")
-    islands = fires.withColumn("__i", F.sum(F.coalesce((F.col("ts") - F.lag("ts").over(order) >= cooldown_s).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = scan.islands(fires, keys, "ts", ["seq"], cooldown_s, "__i", inclusive=True)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "seq"], ignore_index=True)

@@ -34,3 +34,24 @@ def running_sums(df: DataFrame, keys: list[str], block: str, order: list[str], s
     on = reduce(lambda a, b: a & b, [local[k].eqNullSafe(carry[f"__k_{i}"]) for i, k in enumerate([*keys, block])])
     joined = local.join(carry, on, "inner")
     return joined.select(*[local[c] for c in df.columns], *[(F.col(f"__in_{r}") + F.col(f"__carry_{r}")).alias(r) for r in sums])
+
+
+def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: int, name: str = "island", inclusive: bool = False, width: int = 6 * 3600) -> DataFrame:
+    """Add ``name``: the number of the row's island in its group; a new one begins where the time since the row before
+    exceeds ``gap`` (or reaches it, with ``inclusive``). ``time`` is a whole number that is not null.
+
+    The group is cut into blocks of ``width``; each block learns the last time of the blocks before it, so that a hot
+    group is spread over as many tasks as it has blocks.
+    """
+    columns = df.columns
+    cut = df.withColumn("__block", F.floor(F.col(time) / max(gap, width)).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    last = cut.groupBy(*keys, "__block").agg(F.max(time).alias("__max"))
+    last = last.select(*[F.col(k).alias(f"__l_{i}") for i, k in enumerate([*keys, "__block"])], F.max("__max").over(before).alias("__carried"))
+    on = reduce(lambda a, b: a & b, [cut[k].eqNullSafe(last[f"__l_{i}"]) for i, k in enumerate([*keys, "__block"])])
+    joined = cut.join(last, on, "inner").select(*[cut[c] for c in cut.columns], "__carried")
+    previous = F.coalesce(F.lag(time).over(Window.partitionBy(*keys, "__block").orderBy(time, *order)), F.col("__carried"))
+    since = F.col(time) - previous
+    fresh = F.coalesce((since >= gap if inclusive else since > gap).cast("int"), F.lit(0))
+    numbered = running_sums(joined.withColumn("__fresh", fresh), keys, "__block", [time, *order], {name: "__fresh"})
+    return numbered.select(*[F.col(f"`{c}`") for c in columns if c != name], name)

@@ -225,3 +225,35 @@ def diagnostics(objects: DataFrame) -> DataFrame:
     }
     codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
     return objects.select("rec_no", F.explode(codes).alias("code"))
+
+
+# -- collections ------------------------------------------------------------------------------------------
+def collection_page(
+    objects: DataFrame, ids: list[str] = (), types: list[str] = (), spec_versions: list[str] = (), version: str = "last",
+    added_after: str | None = None, limit: int | None = None, cursor: tuple[str, str] | None = None,
+) -> DataFrame:
+    """A page of a collection of stored objects, as the public exchange protocol filters and pages them: by id, type,
+    specification and object version (``first``, ``last``, ``all`` or a time), rows added after a time, in order of
+    (``added_at``, ``id``). ``cursor`` is the last pair of the page before; all filters reach the scan."""
+    out = objects
+    for column, values in (("id", ids), ("type", types), ("spec_version", spec_versions)):
+        if values:
+            out = out.where(F.col(column).isin(list(values)))
+    if added_after is not None:
+        out = out.where(F.col("added_at") > F.lit(added_after).cast("timestamp"))
+    if version in ("first", "last"):
+        pick = F.max_by if version == "last" else F.min_by
+        others = [c for c in out.columns if c != "id"]
+        out = out.groupBy("id").agg(pick(F.struct(*others), F.struct("modified", "rec_no")).alias("v")).select("id", "v.*")
+    elif version != "all":
+        out = out.where(F.col("modified") == F.lit(version).cast("timestamp"))
+    if cursor is not None:
+        at = F.lit(cursor[0]).cast("timestamp")
+        out = out.where((F.col("added_at") > at) | ((F.col("added_at") == at) & (F.col("id") > cursor[1])))
+    out = out.orderBy("added_at", "id", "rec_no")
+    return out.limit(limit) if limit is not None else out
+
+
+def manifest(objects: DataFrame) -> DataFrame:
+    """``id, versions, date_added``: the versions of each object, oldest first."""
+    return objects.groupBy("id").agg(F.array_sort(F.collect_set("modified")).alias("versions"), F.min("added_at").alias("date_added"))

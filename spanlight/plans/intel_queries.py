@@ -121,6 +121,16 @@ def _(spark, sf):
     return stix.diagnostics(table(spark, sf, "stix_objects"))
 
 
+@_query("collection_page", "SELECT id, rec_no FROM (SELECT * FROM stix_objects WHERE type IN ('malware', 'indicator') AND spec_version = '2.1' AND added_at > TIMESTAMP '2023-08-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC, rec_no DESC) = 1) WHERE added_at > TIMESTAMP '2023-09-01' ORDER BY added_at, id, rec_no LIMIT 40")
+def _(spark, sf):
+    return stix.collection_page(table(spark, sf, "stix_objects"), types=["malware", "indicator"], spec_versions=["2.1"], added_after="2023-08-01", cursor=("2023-09-01", "zzz"), limit=40).select("id", "rec_no")
+
+
+@_query("collection_manifest", "SELECT id, len(list_distinct(list(modified)))::BIGINT AS n_versions, min(added_at) AS date_added FROM stix_objects GROUP BY 1")
+def _(spark, sf):
+    return stix.manifest(table(spark, sf, "stix_objects")).select("id", F.size("versions").cast("long").alias("n_versions"), "date_added")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -105,6 +105,31 @@ def _(spark, sf):
     return spark.createDataFrame([(f.rule, f.code, f.message) for f in found], "rule string, code string, message string")
 
 
+def _correlation_sql(name: str, body: str, sql: str, columns: list[str]) -> None:
+    rules = load_rules("title: errors\nname: errors\ndetection: {s: {event_type: error}, condition: s}\n---\ntitle: c\ncorrelation: " + body)
+
+    @_query(name, sql)
+    def _(spark, sf):
+        table(spark, sf, "events").createOrReplaceTempView("spanlight_events")
+        return spark.sql(lucene.correlation_to_sql(rules, rules.correlations[0], "spanlight_events", "ts")).selectExpr(*columns)
+
+
+SECONDS = "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)"
+_correlation_sql("export_sql_tumbling", "{type: event_count, rules: [errors], group-by: [user_id], timespan: 1d, window: tumbling, condition: {gte: 2}}", f"SELECT user_id, {SECONDS} // 86400 * 86400 AS start_s, count(*) AS value FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 2", ["user_id", "start_s", "value"])
+_correlation_sql("export_sql_sliding", "{type: value_sum, rules: [errors], group-by: [user_id], timespan: 1d, condition: {gt: 200, field: value}}", f"SELECT user_id, ts, round(value, 4) AS value FROM (SELECT user_id, {SECONDS} AS ts, sum(value) OVER (PARTITION BY user_id ORDER BY {SECONDS} RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS value FROM events WHERE event_type = 'error') WHERE value > 200", ["user_id", "ts", "round(value, 4) AS value"])
+_correlation_sql("export_sql_session", "{type: event_count, rules: [errors], group-by: [user_id], timespan: 10d, window: session, gap: 1d, condition: {gte: 2}}", f"""WITH m AS (SELECT user_id, {SECONDS} AS t FROM events WHERE event_type = 'error'), c AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 86400 THEN 1 ELSE 0 END AS f FROM m),
+r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM c) SELECT user_id, min(t) AS start_s, max(t) AS end_s, count(*) AS value FROM r GROUP BY user_id, s HAVING count(*) >= 2 AND max(t) - min(t) <= 864000""", ["user_id", "start_s", "end_s", "value"])
+
+
+@_query("logsource_extract", "SELECT coalesce(nullif(trim(category), ''), 'none') AS category, 'lab' AS product, count(*) AS n FROM security_events GROUP BY 1")
+def _(spark, sf):
+    from spanlight.rules.compile import extract_logsource
+
+    events = table(spark, sf, "security_events")
+    parts = extract_logsource(events.schema, {"category": "category"}, {"category": "none", "product": "lab"})
+    return events.select(*[c.alias(n) for n, c in parts.items()]).groupBy("category", "product").agg(F.count("*").alias("n"))
+
+
 # -- streams ----------------------------------------------------------------------------------------------
 ERRORS = load_rules("""
 title: errors

@@ -152,3 +152,13 @@ def compile_collection(collection: Collection, schema: T.StructType, json: set[s
         except RuleError as problem:
             collection.errors.append(f"{rule.title}: {problem}")
     return out
+
+
+def extract_logsource(schema: T.StructType, fields: dict[str, str], defaults: dict[str, str] | None = None, json: set[str] = frozenset()) -> dict[str, Column]:
+    """The log source of each event: part -> its field's value, trimmed; blank or absent ones take the default, if any."""
+    resolver, out = Resolver(schema, set(json)), {}
+    for part in {**fields, **(defaults or {})}:
+        found = resolver.find(fields[part]) if part in fields else None
+        own = F.nullif(F.trim(found.column.cast("string")), F.lit("")) if found is not None and not found.many else F.lit(None).cast("string")
+        out[part] = F.coalesce(own, F.lit((defaults or {}).get(part)).cast("string"))
+    return out

@@ -7,7 +7,7 @@ import re
 import yaml
 
 from spanlight.rules.match import tokens
-from spanlight.rules.model import Collection, Rule, RuleError, load_rules, parse_condition, selected
+from spanlight.rules.model import Collection, Correlation, Rule, RuleError, load_rules, parse_condition, selected
 
 _WORD = re.compile(r'\s*(?:(?P<par>[()])|(?P<op>AND\b|OR\b|NOT\b|&&|\|\||!)|(?P<field>[\w.@\-]+):(?P<value>\((?:[^()]*)\)|"(?:[^"\\]|\\.)*"|/(?:[^/\\]|\\.)*/|[\[{][^\]}]*[\]}]|(?:>=|<=|>|<)[^\s()]+|[^\s()]+)|(?P<text>"(?:[^"\\]|\\.)*"|[^\s()]+))')
 
@@ -201,6 +201,51 @@ def to_sql(rule: Rule, source: str, select: str = "*", form: str = "default") ->
     return f"CREATE OR REPLACE TEMPORARY VIEW `{rule.key}` AS {query}" if form == "view" else query
 
 
+AGGREGATES = {
+    "event_count": "count(*){over}", "value_count": "size(collect_set({field}){over})", "value_sum": "coalesce(sum({field}){over}, 0)",
+    "value_avg": "coalesce(avg({field}){over}, 0)", "value_percentile": "percentile({field}, {share}){over}", "value_median": "percentile({field}, 0.5){over}",
+    "temporal": "size(collect_set(rule_name){over})",
+}
+SIGNS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "neq": "<>"}
+
+
+def correlation_to_sql(collection: Collection, correlation: Correlation, source: str, time: str) -> str:
+    """A Spark SQL query for a correlation: the union of its rules' matches, then a range window (sliding), a bucket
+    (tumbling), or gap-cut runs (session). ``time`` is a timestamp column. Unlike the engine it counts events of the same
+    second that come later, and a session's cap filters instead of splitting."""
+    if correlation.type not in AGGREGATES or correlation.expression is not None:
+        raise RuleError(f"no SQL text for {correlation.type}")
+    fields = [correlation.aliases.get(g, {}) for g in correlation.group_by]
+    legs = []
+    for reference in correlation.rules:
+        rule = collection.rule(reference)
+        keys = [f"`{own.get(reference, g)}` AS `{g}`" for g, own in zip(correlation.group_by, fields, strict=True)]
+        value = [f"`{f}`" for f in correlation.fields]
+        columns = ", ".join([f"{_quote(reference)} AS rule_name", f"unix_seconds(CAST({time} AS timestamp)) AS ts", *keys, *value])
+        legs.append(to_sql(Rule(rule.title, rule.detection, rule.conditions), source, columns))
+    by = ", ".join(f"`{g}`" for g in correlation.group_by)
+    field = f"`{correlation.fields[0]}`" if correlation.fields else "1"
+    span, share = correlation.timespan, correlation.percentile / 100
+    test = " AND ".join(f"value {SIGNS[op]} {n:g}" for op, n in correlation.predicates) or "true"
+    aggregate = AGGREGATES[correlation.type]
+    head = "WITH matched AS (" + " UNION ALL ".join(legs) + ")"
+    part = f"PARTITION BY {by} " if by else ""
+    lead = f"{by}, " if by else ""
+    if correlation.window == "tumbling":
+        value = aggregate.format(over="", field=field, share=share)
+        return f"{head} SELECT * FROM (SELECT {lead}ts div {span} * {span} AS start_s, {value} AS value FROM matched GROUP BY {lead}ts div {span} * {span}) WHERE {test}"
+    if correlation.window == "session":
+        gap = correlation.gap if correlation.gap is not None else span
+        value = aggregate.format(over="", field=field, share=share)
+        return (
+            f"{head}, cut AS (SELECT *, CASE WHEN ts - lag(ts) OVER ({part}ORDER BY ts) > {gap} THEN 1 ELSE 0 END AS fresh FROM matched), "
+            f"run AS (SELECT *, sum(fresh) OVER ({part}ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM cut) "
+            f"SELECT * FROM (SELECT {lead}min(ts) AS start_s, max(ts) AS end_s, {value} AS value FROM run GROUP BY {lead}session) WHERE {test} AND end_s - start_s <= {span}"
+        )
+    value = aggregate.format(over=f" OVER ({part}ORDER BY ts RANGE BETWEEN {span} PRECEDING AND CURRENT ROW)", field=field, share=share)
+    return f"{head} SELECT * FROM (SELECT rule_name, {lead}ts, {value} AS value FROM matched) WHERE {test}"
+
+
 def convert(collection: Collection, source: str) -> tuple[list[str], list[str]]:
     """SQL of all rules, and what could not be converted."""
     done, failed = [], []
