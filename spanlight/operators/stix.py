@@ -166,10 +166,10 @@ def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
 
 # -- store ------------------------------------------------------------------------------------------------
-def latest_versions(objects: DataFrame, key: str = "id", modified: str = "modified", tie: str = "rec_no") -> DataFrame:
-    """The newest version of each object (ties: the greatest ``tie``); an aggregation with map-side combine."""
+def latest_versions(objects: DataFrame, key: str = "id", modified: str = "modified", ties: tuple[str, ...] = ("rec_no", "name", "added_at")) -> DataFrame:
+    """The newest version of each object (ties: the greatest ``ties``, nulls last); an aggregation with map-side combine."""
     others = [c for c in objects.columns if c != key]
-    best = F.max_by(F.struct(*others), F.struct(F.col(modified), F.col(tie)))
+    best = F.max_by(F.struct(*others), F.struct(modified, *ties))
     return objects.groupBy(key).agg(best.alias("v")).select(key, "v.*")
 
 
@@ -244,7 +244,7 @@ def collection_page(
     if version in ("first", "last"):
         pick = F.max_by if version == "last" else F.min_by
         others = [c for c in out.columns if c != "id"]
-        out = out.groupBy("id").agg(pick(F.struct(*others), F.struct("modified", "rec_no")).alias("v")).select("id", "v.*")
+        out = out.groupBy("id").agg(pick(F.struct(*others), F.struct("modified", "rec_no", "name", "added_at")).alias("v")).select("id", "v.*")
     elif version != "all":
         out = out.where(F.col("modified") == F.lit(version).cast("timestamp"))
     if cursor is not None:

@@ -52,13 +52,13 @@ _simple("detect_exists", "security_events", SE, "  s: {dst_port|exists: true}\n
 _simple("detect_null", "security_events", SE, "  s: {rule_name: null}\n  condition: not s", "rule_name IS NOT NULL")
 _simple("detect_bool", "stix_objects", ["rec_no"], "  s: {revoked: true}\n  condition: s", "revoked")
 _simple("detect_json_field", "events", ["event_id"], "  s: {props.k|gte: 80}\n  condition: s", "try_cast(props->>'$.k' AS DOUBLE) >= 80", {"props"})
-_simple("detect_fieldref", "lineitem", ["l_orderkey", "l_linenumber"], "  s: {l_returnflag|fieldref: l_linestatus}\n  condition: s", "lower(l_returnflag) = lower(l_linestatus)")
+_simple("detect_fieldref", "lineitem", ["l_orderkey", "l_linenumber"], "  s: {l_quantity|fieldref: l_linenumber}\n  condition: s", "l_quantity = l_linenumber")
 _simple("detect_expand", "nation", ["n_nationkey"], "  s: {n_name|expand: '%n_name%'}\n  condition: s", "n_name IS NOT NULL")
 _simple("detect_timestamp_parts", "orders", ["o_orderkey"], "  s: {o_orderdate|month: 3}\n  t: {o_orderdate|week: 10}\n  condition: s or t", "month(o_orderdate) = 3 OR week(o_orderdate) = 10")
 _simple("detect_cidr", "security_events", SE, "  s: {src_ip|cidr: 10.128.0.0/9}\n  condition: s", "regexp_matches(src_ip, '^10\\.(12[89]|1[3-9][0-9]|2[0-4][0-9]|25[0-5])\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$')")
 _simple("detect_cidr6", "security_events", SE, "  s: {src_ip|cidr: '2001:db8::/32'}\n  condition: s", "regexp_matches(lower(src_ip), '^2001:0?db8:[0-9a-f:]+$')")
 _simple("detect_windash", "security_events", SE, "  s: {process_command_line|windash|contains: ' -c '}\n  condition: s", "regexp_matches(lower(process_command_line), ' [-/–—―]c ')")
-_simple("detect_base64", "documents", ["doc_id"], "  s: {text|base64offset|contains: user}\n  condition: s", "contains(lower(text), 'dxnlcg') OR contains(lower(text), 'vzzxi') OR contains(lower(text), '1c2vy')")
+_simple("detect_base64", "documents", ["doc_id"], "  s: {text|base64offset|contains: ab}\n  condition: s", "contains(lower(text), 'ywi') OR contains(lower(text), 'fi') OR contains(lower(text), 'hyg')")
 _simple("detect_keywords", "documents", ["doc_id"], "  k: [mutex, 'hidden window']\n  condition: k", "contains(lower(coalesce(text,'')), 'mutex') OR contains(lower(coalesce(text,'')), 'hidden window') OR contains(lower(coalesce(source,'')), 'mutex') OR contains(lower(coalesce(source,'')), 'hidden window') OR contains(lower(coalesce(lang,'')), 'mutex') OR contains(lower(coalesce(doc_kind,'')), 'mutex')")
 _simple("detect_selector_n_of", "security_events", SE, "  x_a: {category: dns}\n  x_b: {action: blocked}\n  x_c: {severity|gte: 2}\n  condition: 2 of x_*", "coalesce(lower(category) = 'dns', false)::INT + coalesce(lower(action) = 'blocked', false)::INT + coalesce(severity >= 2, false)::INT >= 2")
 _simple("detect_selector_all_of", "events", ["event_id"], "  a: {event_type: purchase}\n  b: {value|gt: 50}\n  _c: {user_id: 1}\n  condition: all of them", "event_type = 'purchase' AND value > 50")

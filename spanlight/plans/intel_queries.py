@@ -78,10 +78,10 @@ def _(spark, sf):
     return stix.expand(edges, _start(edges), 3)
 
 
-@_query("graph_reference_edges", "SELECT id AS src, k AS path, count(*) AS n FROM (SELECT id, unnest(json_keys(body)) AS k, body FROM stix_objects) WHERE k LIKE '%\\_ref' ESCAPE '\\' AND json_extract(body, '$.\"' || k || '\"') IS NOT NULL GROUP BY 1, 2")
+@_query("graph_reference_edges", "SELECT src, path, count(*) AS n FROM (SELECT id AS src, 'created_by_ref' AS path, created_by_ref AS dst FROM sightings UNION ALL SELECT id, 'sighting_of_ref', sighting_of_ref FROM sightings UNION ALL SELECT id, 'observed_data_refs', unnest(observed_data_refs) FROM sightings) WHERE dst IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
-    edges = stix.reference_edges(table(spark, sf, "stix_objects"))
-    return edges.where(F.endswith("path", F.lit("_ref"))).groupBy("src", "path").agg(F.count("*").alias("n"))
+    objects = table(spark, sf, "sightings").select("id", F.to_json(F.struct("created_by_ref", "sighting_of_ref", "observed_data_refs")).alias("body"))
+    return stix.reference_edges(objects).groupBy("src", "path").agg(F.count("*").alias("n"))
 
 
 @_query("graph_unresolved", "WITH n AS (SELECT DISTINCT lower(trim(id)) AS id FROM stix_objects) SELECT lower(trim(sighting_of_ref)) AS dst, count(*) AS n FROM sightings WHERE trim(sighting_of_ref) <> '' AND lower(trim(sighting_of_ref)) NOT IN (SELECT id FROM n WHERE id IS NOT NULL) GROUP BY 1")
@@ -91,12 +91,12 @@ def _(spark, sf):
     return refs.join(nodes, "dst", "left_anti").groupBy("dst").agg(F.count("*").alias("n"))
 
 
-@_query("store_latest", "SELECT id, type, name, modified, rec_no FROM stix_objects QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC NULLS LAST, rec_no DESC) = 1")
+@_query("store_latest", "SELECT id, type, name, modified, rec_no FROM stix_objects QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC NULLS LAST, rec_no DESC, name DESC NULLS LAST, added_at DESC) = 1")
 def _(spark, sf):
     return stix.latest_versions(table(spark, sf, "stix_objects")).select("id", "type", "name", "modified", "rec_no")
 
 
-@_query("store_query", "SELECT rec_no FROM (SELECT DISTINCT ON (id) id, rec_no FROM (SELECT id, rec_no, type, name, modified FROM stix_objects QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC NULLS LAST, rec_no DESC) = 1) WHERE type IN ('malware', 'indicator', 'tool') AND contains(lower(name), 'a') AND modified > TIMESTAMP '2023-07-01' ORDER BY id) ORDER BY id LIMIT 50 OFFSET 10")
+@_query("store_query", "SELECT rec_no FROM (SELECT DISTINCT ON (id) id, rec_no FROM (SELECT id, rec_no, type, name, modified FROM stix_objects QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC NULLS LAST, rec_no DESC, name DESC NULLS LAST, added_at DESC) = 1) WHERE type IN ('malware', 'indicator', 'tool') AND contains(lower(name), 'a') AND modified > TIMESTAMP '2023-07-01' ORDER BY id) ORDER BY id LIMIT 50 OFFSET 10")
 def _(spark, sf):
     newest = stix.latest_versions(table(spark, sf, "stix_objects"))
     return stix.store_query(newest, types=["malware", "indicator", "tool"], text="A", modified_after="2023-07-01", offset=10, limit=50).select("rec_no")
@@ -121,7 +121,7 @@ def _(spark, sf):
     return stix.diagnostics(table(spark, sf, "stix_objects"))
 
 
-@_query("collection_page", "SELECT id, rec_no FROM (SELECT * FROM stix_objects WHERE type IN ('malware', 'indicator') AND spec_version = '2.1' AND added_at > TIMESTAMP '2023-08-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC, rec_no DESC) = 1) WHERE added_at > TIMESTAMP '2023-09-01' ORDER BY added_at, id, rec_no LIMIT 40")
+@_query("collection_page", "SELECT id, rec_no FROM (SELECT * FROM stix_objects WHERE type IN ('malware', 'indicator') AND spec_version = '2.1' AND added_at > TIMESTAMP '2023-08-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY modified DESC, rec_no DESC, name DESC NULLS LAST, added_at DESC) = 1) WHERE added_at > TIMESTAMP '2023-09-01' ORDER BY added_at, id, rec_no LIMIT 40")
 def _(spark, sf):
     return stix.collection_page(table(spark, sf, "stix_objects"), types=["malware", "indicator"], spec_versions=["2.1"], added_after="2023-08-01", cursor=("2023-09-01", "zzz"), limit=40).select("id", "rec_no")
 
