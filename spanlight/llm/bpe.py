@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from spanlight.session import ship_package
 
 TOKENIZER_DIR = "/opt/tokenizers"
-WORD_CACHE = 1 << 18  # distinct words kept by a worker before it starts afresh
+WORD_CACHE = 1 << 18  # distinct words (and a quarter of the trie nodes) kept by a worker before it starts afresh
 # fixed value: the public pattern of this vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,8 +57,9 @@ class TrieEncoder:
         self.reset()
 
     def reset(self) -> None:
-        """Forget all words. Node 0 is the root; a node has its children, parent, byte and last token."""
-        self.children: list[dict[int, int]] = [{}]
+        """Forget all words. Node 0 is the root; a node has a parent, a byte, its last token and where that starts.
+        ``children`` leads from node * 256 + byte to the child."""
+        self.children: dict[int, int] = {}
         self.parent, self.byte, self.last, self.start = [0], [0], [-1], [0]
         self.known: dict[str, list[int]] = {}
         self.sizes: dict[str, int] = {}
@@ -161,11 +162,9 @@ class TrieEncoder:
         for word in words:
             node = 0
             for b in word.encode("utf-8", "replace"):
-                child = children[node].get(b)
+                child = children.get(node << 8 | b)
                 if child is None:
-                    child = len(children)
-                    children[node][b] = child
-                    children.append({})
+                    child = children[node << 8 | b] = len(parent)
                     parent.append(node)
                     byte.append(b)
                     last.append(-1)
@@ -185,7 +184,7 @@ class TrieEncoder:
         words = self.split(text)
         fresh = set(words).difference(self.known)
         if fresh:
-            if len(self.known) > self.cache or len(self.children) > 16 * self.cache:
+            if len(self.known) > self.cache or len(self.parent) > 4 * self.cache:
                 self.reset()
                 fresh = set(words)
             self.insert(sorted(fresh))
