@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanlight.operators import bloom
 from spanlight.operators.scan import running_sums
 from spanlight.operators.timestamps import BLANKS
+from spanlight.session import materialise
 
 DAY_US = 86_400_000_000
 
@@ -72,25 +73,37 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = bloom.BLOCKS
 
     1. A Bloom filter over the parent keys, of fixed size, is broadcast: negatives are definite orphans
        (``missing``) and leave here, without a shuffle.
-    2. The filter-positive references are verified exactly. Their distinct (target, time) pairs meet the
-       parents' additions (+1) and removals (-1) in one co-partitioned pass; the running sum of both is the
-       number of rows alive. None alive: ``missing`` if the id has no row at all, ``late`` if none was added
-       yet, else ``deleted``. The pass runs in blocks of a day per id, so that an id that has a third of all
-       references, or of all versions, is spread over as many tasks as it has days.
+    2. The filter-positive references are verified exactly. Per target (added up before the shuffle) their earliest
+       time is joined to the earliest start of a row that was never removed: if that came first, all references to
+       the target are sound. The other targets are doubtful; a second Bloom filter, of these, keeps the sound
+       references out of the rest, again without a shuffle.
+    3. The doubtful references' distinct (target, time) pairs meet the additions (+1) and removals (-1) of their
+       targets in one co-partitioned pass; the running sum of both is the number of rows alive. None alive:
+       ``missing`` if the id has no row at all, ``late`` if none was added yet, else ``deleted``. The pass runs in
+       blocks of a day per id, so that an id that has a third of all references, or of all versions, is spread
+       over as many tasks as it has days.
 
     A parent lives from ``from_us`` (included) to ``to_us`` (excluded, null = for ever); a parent without a
     start never lives but its id exists. Repeated rows and ties change nothing.
     """
-    flagged = bloom.probe(refs, "target_id", bloom.build(parents, "target_id", blocks), blocks, "maybe")
     columns = refs.columns
+    held = materialise(bloom.build(parents, "target_id", blocks), "bloom")
+    flagged = bloom.probe(refs, "target_id", held, blocks, "maybe")
     definite = flagged.where(~F.col("maybe")).select(*columns, F.lit("missing").alias("reason"))
     positive = flagged.where("maybe").select(*columns)
 
-    pairs = positive.select("target_id", F.col("at_us").alias("t")).distinct().select("target_id", "t", F.lit(1).alias("probe"), F.lit(0).alias("net"), F.lit(0).alias("added"), F.lit(0).alias("known"))
+    used = positive.groupBy("target_id").agg(F.min("at_us").alias("first_at"))
+    kept = parents.where(F.col("to_us").isNull() & F.col("from_us").isNotNull()).groupBy(F.col("target_id").alias("__id")).agg(F.min("from_us").alias("kept_from"))
+    doubtful = used.join(kept, F.col("target_id") == F.col("__id"), "left").where(F.col("kept_from").isNull() | (F.col("kept_from") > F.col("first_at"))).select("target_id")
+    doubts = materialise(bloom.build(doubtful, "target_id", blocks), "bloom")
+    candidates = bloom.probe(positive, "target_id", doubts, blocks, "doubt").where("doubt").select(*columns)
+    suspects = bloom.probe(parents, "target_id", doubts, blocks, "doubt").where("doubt").select(*parents.columns)
+
+    pairs = candidates.select("target_id", F.col("at_us").alias("t")).distinct().select("target_id", "t", F.lit(1).alias("probe"), F.lit(0).alias("net"), F.lit(0).alias("added"), F.lit(0).alias("known"))
     lives = (F.col("from_us").isNotNull()) & (F.col("to_us").isNull() | (F.col("to_us") > F.col("from_us")))
     change = lambda t, net, added, known: F.struct(t.cast("long").alias("t"), net.alias("net"), added.alias("added"), known.alias("known"))
     first = F.lit(-(1 << 62)).cast("long")
-    changes = parents.select(
+    changes = suspects.select(
         "target_id",
         F.explode(F.array(
             change(first, F.lit(0), F.lit(0), F.lit(1)),
@@ -104,7 +117,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = bloom.BLOCKS
     judged = running_sums(line, ["target_id"], "block", ["t", "probe"], {"alive": "net", "so_far": "added", "exists": "known"})
     reason = F.when(F.col("exists") == 0, "missing").when(F.col("so_far") == 0, "late").otherwise("deleted")
     bad = judged.where((F.col("probe") == 1) & (F.col("alive") <= 0)).select(F.col("target_id").alias("__id"), F.col("t").alias("__t"), reason.alias("reason"))
-    verified = positive.join(bad, (positive["target_id"] == bad["__id"]) & (positive["at_us"] == bad["__t"]), "inner").select(*columns, "reason")
+    verified = candidates.join(bad, (candidates["target_id"] == bad["__id"]) & (candidates["at_us"] == bad["__t"]), "inner").select(*columns, "reason")
     return definite.unionByName(verified)
 
 
