@@ -216,7 +216,10 @@ SELECT o.event_id, o.user_id, CAST(o.n AS DOUBLE) AS value FROM r JOIN o ON o.us
 _folded("corr_reset", "action: reset")
 
 
-@_query("corr_chain", None)
+@_query("corr_chain", f"""
+WITH m AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, {TS} AS t FROM events WHERE event_type = 'error'),
+f AS (SELECT a.event_id, a.user_id, a.t FROM m a JOIN m b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 172800 AND a.t AND (b.t < a.t OR b.event_id <= a.event_id) GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT a.event_id, a.user_id, CAST(count(*) AS DOUBLE) AS value FROM f a JOIN f b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 432000 AND a.t AND (b.t < a.t OR b.event_id <= a.event_id) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(spark, sf):
     rules, inner = _correlation("  {type: event_count, rules: [errors], group-by: [user_id], timespan: 2d, condition: {gte: 2}}")
     outer = _rule("title: outer\ncorrelation: {type: event_count, rules: [corr], group-by: [user_id], timespan: 5d, condition: {gte: 2}}").correlations[0]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from spanlight.operators import correlate as C
 from spanlight.operators.detect import matching
 from spanlight.rules import analysis, lucene, pipeline
 from spanlight.rules.model import Collection, load_rules
-from spanlight.session import table
+from spanlight.session import scratch, table
 from spanlight.streaming import detect as streams
 
 QUERIES: dict = {}
@@ -146,25 +143,12 @@ correlation: {type: event_count, rules: [errors], group-by: [user_id], timespan:
 
 def _run_stream(spark: SparkSession, sf: str, build) -> DataFrame:
     """The whole table as a stream that ends, written to a table in the shared folder."""
-    from spanlight.session import shared_dir
-
+    base = scratch(spark, "stream")
     schema = table(spark, sf, "events").schema
-    folder = tempfile.mkdtemp(prefix="spanlight-stream-") if shared_dir(spark).startswith("file:///tmp/spanlight-") else None
-    base = f"file://{folder}" if folder else f"{shared_dir(spark)}/stream-{id(build)}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
     query = build(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    if folder:
-        import atexit
-
-        atexit.register(shutil.rmtree, folder, True)
-    return out
-
-
-@_query("stream_detect", "SELECT event_id, 'errors' AS rule_title FROM events WHERE event_type = 'error'")
-def _(spark, sf):
-    return _run_stream(spark, sf, lambda s: streams.detections(s, ERRORS, keep=["event_id"]).select("event_id", "rule_title"))
+    return spark.read.parquet(f"{base}/out")
 
 
 TS = "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)"

@@ -58,6 +58,13 @@ def _drop(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path[7:], ignore_errors=True)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the interpreter ends."""
+    path = f"{shared_dir(spark)}/spanlight-{label}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -65,9 +72,8 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     They are removed when the interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanlight-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
