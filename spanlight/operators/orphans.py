@@ -89,14 +89,16 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = bloom.BLOCKS
     columns = refs.columns
     held = materialise(bloom.build(parents, "target_id", blocks), "bloom")
     flagged = bloom.probe(refs, "target_id", held, blocks, "maybe")
-    definite = flagged.where(~F.col("maybe")).select(*columns, F.lit("missing").alias("reason"))
     positive = flagged.where("maybe").select(*columns)
 
     used = positive.groupBy("target_id").agg(F.min("at_us").alias("first_at"))
     kept = parents.where(F.col("to_us").isNull() & F.col("from_us").isNotNull()).groupBy(F.col("target_id").alias("__id")).agg(F.min("from_us").alias("kept_from"))
     doubtful = used.join(kept, F.col("target_id") == F.col("__id"), "left").where(F.col("kept_from").isNull() | (F.col("kept_from") > F.col("first_at"))).select("target_id")
     doubts = materialise(bloom.build(doubtful, "target_id", blocks), "bloom")
-    candidates = bloom.probe(positive, "target_id", doubts, blocks, "doubt").where("doubt").select(*columns)
+    # the one pass over all references that keeps some: the definite orphans and the doubtful references
+    rest = materialise(bloom.probe(flagged, "target_id", doubts, blocks, "doubt").where(F.col("doubt") | ~F.col("maybe")).select(*columns, "maybe"), "references")
+    definite = rest.where(~F.col("maybe")).select(*columns, F.lit("missing").alias("reason"))
+    candidates = rest.where("maybe").select(*columns)
     suspects = bloom.probe(parents, "target_id", doubts, blocks, "doubt").where("doubt").select(*parents.columns)
 
     pairs = candidates.select("target_id", F.col("at_us").alias("t")).distinct().select("target_id", "t", F.lit(1).alias("probe"), F.lit(0).alias("net"), F.lit(0).alias("added"), F.lit(0).alias("known"))
