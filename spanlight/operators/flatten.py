@@ -10,6 +10,7 @@ given as text, dotted keys, arrays where an object is usual); it runs in Arrow b
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -209,21 +210,41 @@ def group_sizes(triples: DataFrame) -> DataFrame:
     return grouped.withColumn("leaf", leaf).groupBy("ancestor", "leaf").agg(F.count("*").alias("n_values"), F.count("val").alias("n_present"))
 
 
+def _shapes(ancestor: str) -> dict[str, tuple[bool, ...]]:
+    """The paths at which members of ``ancestor`` lie where single objects stand in place of some of its arrays, and which
+    of the arrays are there; ``ancestor`` itself is first."""
+    parts = ancestor.split("[]")[:-1]
+    return {"".join(p + "[]" * k for p, k in zip(parts, kept, strict=True)): kept for kept in reversed(list(itertools.product([False, True], repeat=len(parts))))}
+
+
 def pivot_group(triples: DataFrame, ancestor: str, leaves: list[str]) -> DataFrame:
     """One flat table: the members of the array ``ancestor`` ('' = the records themselves) as rows.
 
     Columns: ``source_key, record_no, record_id, position, parent_position, ordinal`` and one per leaf (dots
     become underscores). ``parent_position`` is the position of the enclosing member, so that tables of inner
     arrays join their parents on ``source_key, record_no, parent_position = position``. A leaf given twice
-    in one member (as a nested and as a dotted key) keeps its greatest text.
+    in one member (as a nested and as a dotted key) keeps its greatest text. One object where an array is usual is
+    its member at place 0; it is a row of its own also where the record has that array too (by dotted keys).
     """
-    grouped = triples.where((F.col("kind") != "broken") & (repeated_ancestor(F.col("path")) == ancestor))
-    lead = f"{ancestor}." if ancestor else ""
-    wanted = grouped.where(F.col("path").isin([lead + x for x in leaves] + ([ancestor] if "" in leaves else [])))
-    columns = [F.max(F.when(F.col("path") == (lead + x if x else ancestor), F.col("val"))).alias(x.replace(".", "_") or "value") for x in leaves]
+    shapes = _shapes(ancestor)
+    names = lambda at: [f"{at}.{x}" if at and x else at or x for x in leaves]
+    path, shape, place, ordinal = F.col("path"), F.lit(None).cast("int"), F.col("position"), F.col("ordinal")
+    for number, (at, kept) in enumerate(shapes.items()):
+        array = at[: at.rindex("[]") + 2] if "[]" in at else ""
+        here = (repeated_ancestor(path) == array) & path.isin(names(at))
+        if not all(kept):
+            here = here & ~((path == at) & (F.col("kind") == "null"))  # a null is no member
+            index = iter(range(1, len(kept) + 1))
+            parts = [F.try_element_at(F.split("position", r"\."), F.lit(next(index))) if k else F.lit("0") for k in kept]
+            place = F.when(F.col("__shape") == number, F.concat_ws(".", *parts)).otherwise(place)
+            ordinal = ordinal if kept[-1] else F.when(F.col("__shape") == number, F.lit(0).cast("long")).otherwise(ordinal)
+        shape = F.when(here, number).otherwise(shape)
+    wanted = triples.where(F.col("kind") != "broken").withColumn("__shape", shape).where(F.col("__shape").isNotNull()).withColumns({"position": place, "ordinal": ordinal})
+    columns = [F.max(F.when(path.isin(list(same)), F.col("val"))).alias(x.replace(".", "_") or "value") for x, same in zip(leaves, zip(*map(names, shapes), strict=True), strict=True)]
     parent = F.when(F.instr("position", ".") > 0, F.regexp_replace("position", r"\.\d+$", "")).otherwise("")
     return (
-        wanted.groupBy("source_key", "record_no", "position")
+        wanted.groupBy("source_key", "record_no", "position", "__shape")
         .agg(F.max("record_id").alias("record_id"), F.max("ordinal").alias("ordinal"), *columns)
+        .drop("__shape")
         .withColumn("parent_position", parent)
     )

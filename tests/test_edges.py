@@ -1,12 +1,14 @@
 """Nulls, blanks, ties, repeats, empty tables and clashing column names for the general operators."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanlight.operators import bloom, flatten, intervals, orphans, sessions, timestamps
+from spanlight.plans import core_queries
 from tests import brute
 
 T0 = dt.datetime(2024, 1, 1)
@@ -150,6 +152,40 @@ def test_flatten_pivot_keeps_parents(spark):
     assert inner == {("0", 0, "1"), ("0", 1, "2")}
 
 
+def test_flatten_pivot_takes_one_object_for_an_array(spark):
+    """Objects where an array is usual, also as text, in inner arrays and beside the array, against plain reading."""
+    rng = random.Random(4)
+    bodies, want, inner = [], set(), set()
+    for i in range(60):
+        members = [{"n": f"{i}-{k}", "h": {"s": k}} for k in range(rng.choice([1, 1, 2, 3]))]
+        for k, m in enumerate(members):
+            refs = [{"k": f"{i}/{k}/{j}"} for j in range(rng.choice([1, 2]))]
+            m["y"] = refs[0] if len(refs) == 1 and rng.random() < 0.7 else refs
+            want.add((str(i), str(k), "", k, m["n"], str(k)))
+            inner |= {(str(i), f"{k}.{j}", str(k), j, x["k"]) for j, x in enumerate(refs)}
+        x = members[0] if len(members) == 1 and rng.random() < 0.7 else members
+        bodies.append(json.dumps({"id": f"r{i}", "x": json.dumps(x) if rng.random() < 0.2 else x}))
+    bodies.append('{"id":"both","x":[{"n":"in"}],"x.n":"beside"}')
+    want |= {("60", "0", "", 0, "in", None), ("60", "0", "", 0, "beside", None)}
+    df = triples(spark, bodies)
+    outer = flatten.pivot_group(df, "x[]", ["n", "h.s"]).select("source_key", "position", "parent_position", "ordinal", "n", "h_s").collect()
+    assert len(outer) == len(want) and {tuple(r) for r in outer} == want
+    got = flatten.pivot_group(df, "x[].y[]", ["k"]).select("source_key", "position", "parent_position", "ordinal", "k").collect()
+    assert len(got) == len(inner) and {tuple(r) for r in got} == inner
+
+
+def test_external_references_against_plain_reading(spark, sf):
+    got = core_queries.p3_external_references(spark, sf).select("source_key", "ordinal", "source_name", "url", "external_id", "hashes_SHA-256").collect()
+    want = set()
+    for number, body in spark.read.parquet(f"{sf}/stix_objects.parquet").select("rec_no", "body").collect():
+        for record in flatten.parse_records(body, None)[0]:
+            refs = flatten._as_object(record.get("external_references")) if isinstance(record, dict) else None
+            for k, ref in enumerate(refs if isinstance(refs, list) else [refs]):
+                if isinstance(ref, dict) and ref:
+                    want.add((str(number), k, *(ref.get(x) for x in ("source_name", "url", "external_id")), (ref.get("hashes") or {}).get("SHA-256")))
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
 def test_flatten_very_deep_and_very_long(spark):
     deep, long = "[" * 5000 + "]" * 5000, '{"id":"l","v":"' + "x" * 2_000_000 + '"}'
     got = triples(spark, ['{"id":"d","v":' + deep + "}", long], paths=["v"]).collect()
