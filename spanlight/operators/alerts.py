@@ -65,15 +65,15 @@ def in_scope(alerts: DataFrame, rules: list[str] = (), tags: list[str] = (), lev
 
 def inhibit(alerts: DataFrame, source: list[Matcher], target: list[Matcher], equal: list[str], duration_s: int) -> DataFrame:
     """Drop target alerts while a source alert with the same ``equal`` labels was active: one that arrived
-    before, less than ``duration_s`` seconds ago. An alert does not inhibit itself, and an inhibited alert is
-    no source: alerts that are both are left alone as targets of each other only where the first stands.
+    before, less than ``duration_s`` seconds ago. An alert that matches both sides is a source and is never
+    inhibited, so an inhibited alert is no source.
 
     The last source before each target is carried along in one window per key, cut into blocks of time.
     """
     width = max(duration_s, 6 * 3600)
     own = F.floor(F.col("ts") / width).cast("long")
     is_source, is_target = F.coalesce(all_match(source), F.lit(False)), F.coalesce(all_match(target), F.lit(False))
-    marked = alerts.withColumns({"__source": is_source & ~is_target, "__target": is_target})
+    marked = alerts.withColumns({"__source": is_source, "__target": is_target & ~is_source})
     blocks = F.when(F.col("__source"), F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(True).alias("own"))))
     spread = marked.withColumn("__x", F.explode(blocks))
     w = Window.partitionBy(*equal, "__x.b").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
