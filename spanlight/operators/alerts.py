@@ -141,25 +141,34 @@ def incidents(alerts: DataFrame, by: list[str], resolve_s: int) -> DataFrame:
 
 @dataclass
 class EntityGraph:
-    """How alerts are joined into incidents by the entities they share."""
+    """How alerts are joined into incidents by the entities they share.
+
+    ``max_alerts``, if given, is a guard: of each value the first so many alerts (by ``ts`` if there is one, then ``seq``)
+    are joined by it, the others not. Without it every alert is.
+    """
 
     entities: list[str]
     stop_values: list[str] = field(default_factory=list)
-    max_alerts: int = 100_000
+    max_alerts: int | None = None
 
 
 def entity_incidents(alerts: DataFrame, graph: EntityGraph, rounds: int = 50) -> DataFrame:
     """``seq, incident``: alerts that share an entity value, directly or over others, are one incident; its name
-    is its least ``seq``. Stop values, nulls, blanks and values with more than ``max_alerts`` alerts join nothing.
+    is its least ``seq``. Stop values, nulls and blanks join nothing, nor do a value's alerts beyond ``max_alerts``.
 
     Connected components on the graph of alerts and values: labels are passed on as minima, alternately from
     alerts to values and back, with each label replaced by its own label in between, so that long chains need
     logarithmically many rounds. All steps are aggregations; no pairs of alerts are made.
     """
-    values = alerts.select("seq", F.explode(F.array(*[F.concat(F.lit(f"{e}="), F.lower(F.trim(F.col(e).cast("string")))) for e in graph.entities])).alias("value"))
+    order = [c for c in ("ts", "seq") if c in alerts.columns]
+    values = alerts.select(*order, F.explode(F.array(*[F.concat(F.lit(f"{e}="), F.lower(F.trim(F.col(e).cast("string")))) for e in graph.entities])).alias("value"))
     stops = [f"{e}={s.lower()}" for e in graph.entities for s in [*graph.stop_values, ""]]
     values = values.where(F.col("value").isNotNull() & ~F.col("value").isin(stops)).distinct()
-    sizes = values.groupBy("value").count().where((F.col("count") > 1) & (F.col("count") <= graph.max_alerts)).select("value")
+    if graph.max_alerts is not None:
+        arrival = Window.partitionBy("value").orderBy(*order)
+        values = values.withColumn("__n", F.row_number().over(arrival)).where(F.col("__n") <= graph.max_alerts)
+    values = values.select("seq", "value")
+    sizes = values.groupBy("value").count().where(F.col("count") > 1).select("value")
     edges = materialise(values.join(sizes, "value", "left_semi"), "edges")
     labels = materialise(alerts.select("seq", F.col("seq").alias("label")), "labels")
     for _ in range(rounds):

@@ -27,3 +27,16 @@ def test_inhibit_with_overlapping_matchers(spark):
         found = A.inhibit(df, [m(f"title=~[{source}]")], [m(f"title=~[{target}]")], ["user"], 5_000)
         got = [r.seq for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == plain_inhibit(rows, source, target, 5_000)
+
+
+# -- entity incidents -------------------------------------------------------------------------------------
+def test_a_value_of_many_alerts_joins_them_all(spark):
+    df = spark.range(100_002).selectExpr("id AS seq", "id AS ts", "'hot' AS h")
+    assert {r.incident for r in A.entity_incidents(df, A.EntityGraph(["h"])).select("incident").distinct().collect()} == {0}
+
+
+def test_guard_lets_the_first_alerts_of_a_value_join(spark):
+    rows = [(5, 1, "v", "p"), (1, 2, "v", "q"), (2, 3, "v", "r"), (3, 4, "w", "r"), (4, 5, "v", None)]
+    df = spark.createDataFrame(rows, "seq long, ts long, h string, u string")
+    got = {r.seq: r.incident for r in A.entity_incidents(df, A.EntityGraph(["h", "u"], max_alerts=2)).collect()}
+    assert got == {5: 1, 1: 1, 2: 2, 3: 2, 4: 4}
