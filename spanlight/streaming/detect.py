@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from spanlight.operators.detect import detect
 from spanlight.rules.model import Collection, Correlation, RuleError
 from spanlight.session import ship_package
 
+FAR = 1 << 62
+
 
 def detections(stream: DataFrame, collection: Collection, **options) -> DataFrame:
     """The detections of a stream; stateless, the same projection as in batch."""
@@ -39,10 +42,12 @@ def tumbling_counts(stream: DataFrame, collection: Collection, correlation: Corr
 
 
 def sliding_correlation(stream: DataFrame, collection: Collection, correlation: Correlation, time: str, seq: str, late: str = "1 hour") -> DataFrame:
-    """Firings of a sliding correlation (event_count, value_count, value_sum, temporal), event by event in arrival
-    order, from a state per group: the window's entries, and the time of the last firing for ``suppress``.
+    """Firings of a sliding correlation (event_count, value_count, value_sum, temporal), event by event, in order of
+    time and ``seq`` within a micro-batch, from a state per group: entries, and the time of the last firing for ``suppress``.
 
-    A group's state holds what its window holds; it is dropped once the watermark has passed the window's end.
+    A group's state holds what the windows of events up to ``late`` behind its newest hold; it is dropped once the
+    watermark has passed the last window's end. Spark hands a group over in chunks without order, so its rows of one
+    micro-batch (time, seq, rule and value) are gathered and sorted in one task.
     Events more than ``late`` behind the newest are dropped. Output: ``k0.., ts, seq, value``.
     """
     kinds = ("event_count", "value_count", "value_sum", "temporal")
@@ -57,6 +62,7 @@ def sliding_correlation(stream: DataFrame, collection: Collection, correlation:
     out = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType())])
     state_schema = "times array<long>, rules array<string>, items array<string>, fired long"
     span, kind, mute, reset = correlation.timespan, correlation.type, correlation.suppress or 0, correlation.action == "reset"
+    behind = stream.sparkSession.range(1).select(F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {late}"))).first()[0]
     checks = list(correlation.predicates)
     tests = {"gt": float.__gt__, "gte": float.__ge__, "lt": float.__lt__, "lte": float.__le__, "eq": float.__eq__, "neq": float.__ne__}
 
@@ -65,22 +71,28 @@ def sliding_correlation(stream: DataFrame, collection: Collection, correlation:
             state.remove()
             return
         times, rules, values, fired = (list(x) if i < 3 else x for i, x in enumerate(state.get)) if state.exists else ([], [], [], None)
+        newest = times[-1] if times else -FAR
         found = []
-        for pdf in batches:
-            for row in pdf.sort_values(["ts", "seq"]).itertuples(index=False):
-                alive = [i for i, t in enumerate(times) if t >= row.ts - span]
-                times, rules, values = [times[i] for i in alive] + [int(row.ts)], [rules[i] for i in alive] + [row.rule], [values[i] for i in alive] + [row.item]
-                present = [v for v in values if v is not None and v == v]
-                value = {"event_count": lambda: len(times), "value_count": lambda: len(set(present)), "value_sum": lambda: sum(map(float, present)), "temporal": lambda: len(set(rules))}[kind]()
-                if all(tests[op](float(value), float(n)) for op, n in checks) and (fired is None or row.ts - fired >= mute):
-                    found.append((*key, int(row.ts), int(row.seq), float(value)))
-                    fired = int(row.ts)
-                    if reset:
-                        times, rules, values = [], [], []
-        state.update((times, rules, values, fired))
-        if times:
-            last = (times[-1] + max(span, mute) + 1) * 1000
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        for row in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples(index=False):
+            ts = int(row.ts)
+            low, here = bisect_left(times, ts - span), bisect_right(times, ts)
+            for held, x in ((times, ts), (rules, row.rule), (values, row.item)):
+                held.insert(here, x)
+            window = slice(low, here + 1)
+            present = [v for v in values[window] if v is not None and v == v] if kind in ("value_count", "value_sum") else ()
+            value = {"event_count": lambda: here + 1 - low, "value_count": lambda: len(set(present)), "value_sum": lambda: sum(map(float, present)), "temporal": lambda: len(set(rules[window]))}[kind]()
+            if all(tests[op](float(value), float(n)) for op, n in checks) and (not mute or fired is None or ts - fired >= mute):
+                found.append((*key, ts, int(row.seq), float(value)))
+                fired = ts if fired is None else max(fired, ts)
+                if reset:
+                    for held in (times, rules, values):
+                        del held[window]
+            newest = max(newest, ts)
+        # what comes next is at most ``late`` behind the newest
+        old = bisect_left(times, newest - behind - span)
+        state.update((times[old:], rules[old:], values[old:], fired))
+        last = max([*times[-1:], *([] if fired is None else [fired])])
+        state.setTimeoutTimestamp(max((last + max(span, mute) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         if found:
             yield pd.DataFrame(found, columns=[f.name for f in out.fields])
 

@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+
 from spanlight.operators import alerts as A
+from spanlight.rules.model import load_rules
+from spanlight.streaming import detect as streams
 
 
 # -- inhibition -------------------------------------------------------------------------------------------
@@ -40,3 +44,53 @@ def test_guard_lets_the_first_alerts_of_a_value_join(spark):
     df = spark.createDataFrame(rows, "seq long, ts long, h string, u string")
     got = {r.seq: r.incident for r in A.entity_incidents(df, A.EntityGraph(["h", "u"], max_alerts=2)).collect()}
     assert got == {5: 1, 1: 1, 2: 2, 3: 2, 4: 4}
+
+
+# -- streams ----------------------------------------------------------------------------------------------
+RULES = """
+title: errors
+name: errors
+detection: {s: {kind: error}, condition: s}
+---
+title: many
+correlation: {type: KIND, rules: [errors], group-by: [user], timespan: 50s, condition: {FIELDgte: 3}}
+"""
+
+
+def run_stream(spark, folder, files, rules):
+    """The firings of files that arrive one after another."""
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "id long, ts long, user string, kind string, item string").coalesce(1).write.parquet(f"{folder}/in/{i}")
+    schema = spark.read.parquet(f"{folder}/in/0").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/in/*")
+    out = streams.sliding_correlation(source, rules, rules.correlations[0], "ts", "id")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.seq, r.value) for r in spark.read.parquet(f"{folder}/out").collect())
+
+
+def plain_stream(files, distinct):
+    seen, out = [], []
+    for rows in files:
+        for i, ts, user, _, item in sorted(rows, key=lambda r: (r[1], r[0])):
+            seen.append((ts, user, item))
+            inside = [x for t, u, x in seen if u == user and ts - 50 <= t <= ts]
+            n = len(set(inside)) if distinct else len(inside)
+            if n >= 3:
+                out.append((i, float(n)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["event_count", "value_count"])
+def test_stream_correlation_orders_a_group_over_chunks_and_late_files(spark, tmp_path, kind):
+    rng = random.Random(6)
+    files = [[(k * 100 + i, 1_000 * k + rng.randrange(2_000), rng.choice("ab"), "error", rng.choice("pqrs")) for i in range(80)] for k in range(2)]
+    for rows in files:
+        rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rules = load_rules(RULES.replace("KIND", kind).replace("FIELD", "field: item, " if kind == "value_count" else ""))
+        got = run_stream(spark, tmp_path, files, rules)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain_stream(files, kind == "value_count")
