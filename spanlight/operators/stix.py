@@ -75,9 +75,10 @@ def evaluate(observations: DataFrame, pattern: str, keys: list[str], time: str,
     """The matches of a pattern per key group (a source, a host): ``keys, start_us, end_us``, one row per tightest
     witness, ending at each observation that completes one.
 
-    AND needs distinct observations in any order, FOLLOWEDBY an order of times (equal times count as ordered);
+    AND needs distinct observations in any order (spans of its parts may overlap), FOLLOWEDBY an order of times (equal times count as ordered);
     WITHIN bounds a witness's length, REPEATS asks for n distinct matches, START/STOP bounds the times. No
-    observation is joined to others: each operator is a running maximum, or a look n rows back, per key.
+    observation is joined to others: each operator is a running maximum, or a look n rows back, per key. A part that is
+    a span itself stands with its tightest witnesses only.
     """
     tree = parse(pattern)
     resolver = Resolver(observations.schema, set(json), mapping or {})
@@ -87,9 +88,9 @@ def evaluate(observations: DataFrame, pattern: str, keys: list[str], time: str,
 
 
 def _matches(node: Node, rows: DataFrame, resolver: Resolver, keys: list[str]) -> DataFrame:
-    """Bindings ``keys, __s, __e, __seq`` (``__seq`` null once several observations take part)."""
+    """Bindings ``keys, __s, __e, __seq, __w`` (``__seq`` null once several observations take part, ``__w`` all of them)."""
     if node.kind == "obs":
-        return rows.where(comparison(node.parts[0], resolver)).select(*keys, F.col("__t").alias("__s"), F.col("__t").alias("__e"), F.col("__seq").cast("string").alias("__seq"))
+        return rows.where(comparison(node.parts[0], resolver)).select(*keys, F.col("__t").alias("__s"), F.col("__t").alias("__e"), F.col("__seq").cast("string").alias("__seq"), F.array(F.col("__seq").cast("string")).alias("__w"))
     if node.kind == "or":
         return reduce(DataFrame.unionByName, [_matches(p, rows, resolver, keys) for p in node.parts]).distinct()
     if node.kind == "startstop":
@@ -101,18 +102,33 @@ def _matches(node: Node, rows: DataFrame, resolver: Resolver, keys: list[str]) -
         inner = _matches(node.parts[0], rows, resolver, keys)
         w = Window.partitionBy(*keys).orderBy("__e", "__s", "__seq")
         back = F.lag("__s", node.value - 1).over(w)
-        return inner.withColumn("__first", back).where(F.col("__first").isNotNull()).select(*keys, F.col("__first").alias("__s"), "__e", F.lit(None).cast("string").alias("__seq"))
-    if node.kind in ("followedby", "and"):
-        parts = [_matches(p, rows, resolver, keys) for p in node.parts]
-        step = _followed if node.kind == "followedby" else _both
-        return reduce(lambda a, b: step(a, b, keys), parts)
+        all_of = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__w").over(w.rowsBetween(1 - node.value, 0)))))
+        return inner.withColumns({"__first": back, "__w": all_of}).where(F.col("__first").isNotNull()).select(*keys, F.col("__first").alias("__s"), "__e", F.lit(None).cast("string").alias("__seq"), "__w")
+    if node.kind == "followedby":
+        return reduce(lambda a, b: _followed(a, b, keys), [_matches(p, rows, resolver, keys) for p in node.parts])
+    if node.kind == "and":
+        parts = _conjuncts(node)
+        return _together([_matches(p, rows, resolver, keys) for p in parts], keys, sum(map(_taking_part, parts)))
     raise PatternError(node.kind)
 
 
+def _conjuncts(node: Node) -> list[Node]:
+    return [x for p in node.parts for x in _conjuncts(p)] if node.kind == "and" else [node]
+
+
+def _taking_part(node: Node) -> int:
+    """The most observations that a match of the pattern is made of."""
+    if node.kind == "obs":
+        return 1
+    counts = [_taking_part(p) for p in node.parts]
+    return max(counts) if node.kind == "or" else sum(counts) * (node.value if node.kind == "repeats" else 1)
+
+
 def _followed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """For each right match the left one that starts last among those that end no later than it starts."""
-    line = left.select(*keys, F.col("__e").alias("__t"), F.lit(0).alias("__side"), F.col("__s").alias("__ls"), F.lit(None).cast("bigint").alias("__re"), "__seq").unionByName(
-        right.select(*keys, F.col("__s").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias("__ls"), F.col("__e").alias("__re"), "__seq")
+    none = F.lit(None).cast("struct<s:bigint,w:array<string>>")
+    line = left.select(*keys, F.col("__e").alias("__t"), F.lit(0).alias("__side"), F.struct(F.col("__s").alias("s"), F.col("__w").alias("w")).alias("__ls"), F.lit(None).cast("bigint").alias("__re"), "__seq", F.lit(None).cast("array<string>").alias("__w")).unionByName(
+        right.select(*keys, F.col("__s").alias("__t"), F.lit(1).alias("__side"), none.alias("__ls"), F.col("__e").alias("__re"), "__seq", "__w")
     )
     upto = Window.partitionBy(*keys).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     peers = Window.partitionBy(*keys, "__t")
@@ -120,16 +136,43 @@ def _followed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     starts = line.withColumns({
         "__before": F.max("__ls").over(upto),
         "__peer": F.max("__ls").over(peers),
+        "__other": F.min("__ls").over(peers),
         "__n": F.count("__ls").over(peers),
         "__own": F.when(F.col("__seq").isNotNull(), F.count("__ls").over(same)).otherwise(0),
     })
     # a left match at the same time counts unless it is the same single observation
-    start = F.when(F.col("__n") > F.col("__own"), F.col("__peer")).otherwise(F.col("__before"))
-    return starts.where("__side = 1").withColumn("__start", start).where(F.col("__start").isNotNull()).select(*keys, F.col("__start").alias("__s"), F.col("__re").alias("__e"), F.lit(None).cast("string").alias("__seq"))
+    peer = F.when(F.arrays_overlap("__peer.w", "__w"), F.struct(F.col("__peer.s").alias("s"), F.col("__other.w").alias("w"))).otherwise(F.col("__peer"))
+    start = F.when(F.col("__n") > F.col("__own"), peer).otherwise(F.col("__before"))
+    found = starts.where("__side = 1").withColumn("__start", start).where(F.col("__start").isNotNull())
+    return found.select(*keys, F.col("__start.s").alias("__s"), F.col("__re").alias("__e"), F.lit(None).cast("string").alias("__seq"), F.array_sort(F.array_distinct(F.concat("__start.w", "__w"))).alias("__w"))
+
 
+def _together(parts: list[DataFrame], keys: list[str], most: int) -> DataFrame:
+    """For each match of a part, as the one that ends last, the latest matches of all other parts that end no later and
+    share no observation with it or each other.
 
-def _both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return _followed(left, right, keys).unionByName(_followed(right, left, keys)).distinct()
+    Every row carries the last ``most`` matches of each part (as many as a witness has observations: when the others have
+    taken theirs, one is left) and the one that starts last.
+    """
+    n = len(parts)
+    line = reduce(DataFrame.unionByName, [p.select(*keys, "__s", "__e", "__w", F.lit(i).alias("__side")) for i, p in enumerate(parts)])
+    line = line.withColumns({f"__x{i}": F.when(F.col("__side") == i, F.struct(F.col("__s").alias("s"), F.col("__w").alias("w"))) for i in range(n)})
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY __e, __side, __s, __w)"
+    upto = Window.partitionBy(*keys).orderBy("__e").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy(*keys, "__e").orderBy("__side", "__s", "__w").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = line.withColumns({f"__b{i}": F.max(f"__x{i}").over(upto) for i in range(n)} | {f"__x{i}_{k}": F.expr(f"lag(__x{i}, {k}) IGNORE NULLS {over}") for i in range(n) for k in range(1, most + 1)})
+    line = line.withColumns({f"__l{i}": F.array(f"__x{i}", *[f"__x{i}_{k}" for k in range(1, most + 1)]) for i in range(n)})
+    line = line.withColumns({f"__l{i}": F.array_distinct(F.filter(F.concat(F.last(f"__l{i}").over(peers), F.array(f"__b{i}")), lambda x: x.isNotNull())) for i in range(n)})
+
+    def joined(combined: Column, i: int) -> Column:
+        grown = F.flatten(F.transform(combined, lambda c: F.transform(F.filter(F.col(f"__l{i}"), lambda x: ~F.arrays_overlap(c["w"], x["w"])), lambda x: F.struct(F.least(c["s"], x["s"]).alias("s"), F.concat(c["w"], x["w"]).alias("w")))))
+        return F.when(F.col("__side") == i, combined).otherwise(grown)
+
+    line = line.withColumn("__c", F.array(F.struct(F.col("__s").alias("s"), F.col("__w").alias("w"))))
+    for i in range(n):
+        line = line.withColumn("__c", joined(F.col("__c"), i))
+    best = line.withColumn("__best", F.array_max("__c")).where(F.col("__best").isNotNull())
+    return best.select(*keys, F.col("__best.s").alias("__s"), "__e", F.lit(None).cast("string").alias("__seq"), F.array_sort("__best.w").alias("__w")).distinct()
 
 
 # -- graph ------------------------------------------------------------------------------------------------

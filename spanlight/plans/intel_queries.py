@@ -52,6 +52,11 @@ _pattern("stix_observation_and", "([event:type = 'error'] AND [event:type = 'sig
 m AS (SELECT b.user_id, max(a.t) AS s, b.t AS f FROM x a JOIN x b ON a.user_id = b.user_id AND a.t <= b.t AND a.event_type <> b.event_type GROUP BY b.user_id, b.event_id, b.t, b.event_type) SELECT DISTINCT user_id, s AS start_us, f AS end_us FROM m WHERE f - s <= 10800000000""")
 
 
+_pattern("stix_observation_and_three", "([event:type = 'error'] AND [event:type = 'signup'] AND [event:type = 'purchase']) WITHIN 12 HOURS", f"""WITH {SQL_EVENTS}, x AS (SELECT * FROM e WHERE event_type IN ('error', 'signup', 'purchase')),
+m AS (SELECT b.user_id, b.t AS f, least(max(a.t) FILTER (a.event_type = 'error'), max(a.t) FILTER (a.event_type = 'signup'), max(a.t) FILTER (a.event_type = 'purchase')) AS s
+  FROM x a JOIN x b ON a.user_id = b.user_id AND a.t <= b.t GROUP BY b.user_id, b.event_id, b.t HAVING count(DISTINCT a.event_type) = 3) SELECT DISTINCT user_id, s AS start_us, f AS end_us FROM m WHERE f - s <= 43200000000""")
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "sightings")
     return s.where("sighting_of_ref is not null and trim(sighting_of_ref) <> ''").select(F.lower(F.trim("id")).alias("src"), F.lit("sighting-of").alias("rel_type"), F.lower(F.trim("sighting_of_ref")).alias("dst")).distinct()

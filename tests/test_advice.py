@@ -1,10 +1,13 @@
 """Overlapping roles, hot values, spans and order in alerts, patterns and streams, against plain versions."""
 
+import datetime as dt
+import itertools
 import random
 
 import pytest
 
 from spanlight.operators import alerts as A
+from spanlight.operators import stix
 from spanlight.rules.model import load_rules
 from spanlight.streaming import detect as streams
 
@@ -94,3 +97,43 @@ def test_stream_correlation_orders_a_group_over_chunks_and_late_files(spark, tmp
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == plain_stream(files, kind == "value_count")
+
+
+# -- patterns ---------------------------------------------------------------------------------------------
+def run_pattern(spark, rows, pattern):
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    df = spark.createDataFrame([(i, "h", at + dt.timedelta(seconds=t), k, v) for i, t, k, v in rows], "id long, host string, ts timestamp, kind string, v long")
+    zero = int(at.timestamp() * 1e6)
+    return {((r.start_us - zero) // 1_000_000, (r.end_us - zero) // 1_000_000) for r in stix.evaluate(df, pattern, ["host"], "ts", "id", {"event:kind": "kind", "event:v": "v"}).collect()}
+
+
+def plain_and(parts):
+    """Parts are lists of (start, end, ids); for each match that ends last, the best of the others."""
+    best = {}
+    for choice in itertools.product(*parts):
+        if len(set().union(*[c[2] for c in choice])) == sum(len(c[2]) for c in choice):
+            end = max(c[1] for c in choice)
+            for i, c in enumerate(choice):
+                if c[1] == end:
+                    best[i, c] = max(best.get((i, c), -1), min(c[0] for c in choice))
+    return {(start, c[1]) for (_, c), start in best.items()}
+
+
+def test_and_of_three_and_of_spans(spark):
+    one = lambda k: f"[event:kind = '{k}']"
+    rows = [(1, 1, "a", 0), (2, 3, "c", 0), (3, 5, "b", 0)]
+    assert run_pattern(spark, rows, f"{one('a')} AND {one('b')} AND {one('c')}") == {(1, 5)}
+    assert run_pattern(spark, rows, f"({one('a')} FOLLOWEDBY {one('b')}) AND {one('c')}") == {(1, 5)}
+    # the span's own observation is not used again
+    assert run_pattern(spark, rows, f"({one('a')} FOLLOWEDBY {one('b')}) AND {one('b')}") == set()
+
+
+def test_and_against_plain_version(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(0, 40), rng.choice("abcd"), rng.randrange(4)) for i in range(26)]
+    pick = lambda test: [(t, t, frozenset([i])) for i, t, k, v in rows if test(k, v)]
+    a, b, c, low, mid = pick(lambda k, v: k == "a"), pick(lambda k, v: k == "b"), pick(lambda k, v: k == "c"), pick(lambda k, v: v < 2), pick(lambda k, v: v < 3)
+    assert run_pattern(spark, rows, "[event:kind = 'a'] AND [event:kind = 'b'] AND [event:kind = 'c']") == plain_and([a, b, c])
+    assert run_pattern(spark, rows, "[event:v < 2] AND ([event:v < 3] AND [event:v < 2])") == plain_and([low, mid, low])
+    spans = [(max(x[0] for x in a if x[0] <= y[0]), y[1], y[2]) for y in b if any(x[0] <= y[0] for x in a)]
+    assert run_pattern(spark, rows, "([event:kind = 'a'] FOLLOWEDBY [event:kind = 'b']) AND [event:kind = 'c']") == plain_and([spans, c])
