@@ -20,7 +20,7 @@ PARTS = {"minute": F.minute, "hour": F.hour, "day": F.dayofmonth, "week": F.week
 MODIFIERS = OPERATORS | set(PARTS) | {"all", "cased", "i", "m", "s", "ignorecase", "multiline", "dotall", "base64", "base64offset", "wide", "utf16le", "utf16be", "utf16", "windash", "expand"}
 EPSILON = 2.220446049250313e-16
 DASHES = "-/–—―"  # fixed values: what windash exchanges
-MAX_DASHES = 8
+MAX_DASHES = 8  # values with more are not written out
 
 
 def check_modifiers(modifiers: list[str]) -> None:
@@ -88,8 +88,14 @@ def base64_offsets(data: bytes) -> list[str]:
     return out
 
 
+def dash_places(text: str) -> list[int]:
+    return [i for i, c in enumerate(text) if c in "-/" and (i == 0 or text[i - 1].isspace())]
+
+
 def dash_variants(text: str) -> list[str]:
-    places = [i for i, c in enumerate(text) if c in "-/" and (i == 0 or text[i - 1].isspace())][:MAX_DASHES]
+    places = dash_places(text)
+    if len(places) > MAX_DASHES:
+        raise RuleError(f"windash: {len(places)} dashes cannot be written out")
     out = []
     for choice in itertools.product(DASHES, repeat=len(places)):
         chars = list(text)
@@ -214,6 +220,11 @@ def value_matcher(value, modifiers: list[str], resolver: Resolver):
         number = float(value)
         return lambda v, kind: F.abs(number_of(v, kind) - number) < EPSILON
     texts = [str(value)]
+    places = dash_places(texts[0]) if "windash" in modifiers and not {"base64", "base64offset"} & set(modifiers) else []
+    if len(places) > MAX_DASHES:
+        marked = "".join("\ufdd0" if i in places else c for i, c in enumerate(texts[0]))
+        expression = wildcard_regex(tokens(marked), cased, op in ("exact", "startswith"), op in ("exact", "endswith")).replace("\ufdd0", f"[{DASHES}]")
+        return lambda v, kind: text_of(v, kind).rlike(expression)
     if "windash" in modifiers:
         texts = [v for t in texts for v in dash_variants(t)]
     if "base64" in modifiers:

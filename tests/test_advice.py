@@ -8,6 +8,7 @@ import pytest
 
 from spanlight.operators import alerts as A
 from spanlight.operators import stix
+from spanlight.operators.detect import matching
 from spanlight.rules.model import load_rules
 from spanlight.streaming import detect as streams
 
@@ -137,3 +138,13 @@ def test_and_against_plain_version(spark):
     assert run_pattern(spark, rows, "[event:v < 2] AND ([event:v < 3] AND [event:v < 2])") == plain_and([low, mid, low])
     spans = [(max(x[0] for x in a if x[0] <= y[0]), y[1], y[2]) for y in b if any(x[0] <= y[0] for x in a)]
     assert run_pattern(spark, rows, "([event:kind = 'a'] FOLLOWEDBY [event:kind = 'b']) AND [event:kind = 'c']") == plain_and([spans, c])
+
+
+# -- windash ----------------------------------------------------------------------------------------------
+def test_windash_varies_every_dash(spark):
+    value = " ".join(f"-{c}" for c in "abcdefghij")
+    rows = [(0, f"X {value} y"), (1, f"x {value.replace('-j', '/J')}"), (2, value.replace("-", "–")), (3, value.replace("-i", "+i")), (4, "x"), (5, None)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    for op, want in (("contains", [0, 1, 2]), ("endswith", [1, 2]), ("startswith", [2])):
+        rules = load_rules(f"title: t\ndetection: {{s: {{'t|windash|{op}': '{value}'}}, condition: s}}")
+        assert sorted(r.i for r in matching(df, rules, rules.rules[0]).collect()) == want
