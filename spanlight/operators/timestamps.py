@@ -6,10 +6,10 @@ zone's history holds around that wall clock are the candidates; a candidate *vio
 instant it leads to did not have that offset. The candidates without violation decide:
 one -> ``instant``, two -> ``ambiguous``, none -> ``nonexistent``.
 
-Rows whose zone is not stated use ``default_zone``; :func:`estimate_zones` estimates it from the alignment
-with ingestion times instead.
+Rows whose zone is not stated use ``default_zone``; :func:`estimate_zones` estimates the zone of a sensor from the
+alignment of its wall clocks with the ingestion times, and :func:`fill_zones` puts the estimates where a zone is missing.
 
-Everything stays in JVM expressions; no shuffle, no Python per row.
+Everything stays in JVM expressions; reading a text needs no shuffle and no Python per row.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlight.operators.scan import same_keys
+
 BLANKS = " \t\n\r\f\u000b "
 DAY_US = 86_400_000_000
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z\z"
@@ -114,7 +116,7 @@ def normalise_times(
     )
     t = F.col("__t")
     kind = (
-        F.when(t.rlike(_ISO), 1).when(t.rlike(_EPOCH), 2).when(t.rlike(_COMPACT), 3).when(t.rlike(_CLF), 4)
+        F.when(t.rlike(CANONICAL), 8).when(t.rlike(_ISO), 1).when(t.rlike(_EPOCH), 2).when(t.rlike(_COMPACT), 3).when(t.rlike(_CLF), 4)
         .when(t.rlike(_RFC), 5).when(t.rlike(_ASC), 6).when(t.rlike(_SLASH), 7).otherwise(0)
     )
     out = out.withColumn("__kind", kind)
@@ -185,7 +187,7 @@ def normalise_times(
     out = out.withColumns({
         "__before": before,
         "__after": after,
-        "__fixed": F.when(k == 2, epoch).when(wall.isNotNull() & (z != ""), wall - stated.cast("long") * 1_000_000),
+        "__fixed": F.when(k == 8, F.unix_micros(t.try_cast("timestamp"))).when(k == 2, epoch).when(wall.isNotNull() & (z != ""), wall - stated.cast("long") * 1_000_000),
     })
     before, after, fixed = F.col("__before"), F.col("__after"), F.col("__fixed")
     changes = before != after
@@ -212,38 +214,90 @@ def is_canonical(text: Column, outcome: Column) -> Column:
     return text.rlike(CANONICAL) & (outcome == "instant")
 
 
+def is_wall_clock(text: Column) -> Column:
+    """Whether a text is a date and time of a known notation without zone and without offset."""
+    t = F.trim(text, F.lit(BLANKS))
+    bare = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\z|^\d{8}[Tt ]\d{6}(?:[.,]\d+)?\z|^\d{1,2}/[A-Za-z]{3}/\d{4}:[\d:]{8}\z"
+    named = r"^(?:[A-Za-z]{3}, )?\d{1,2} [A-Za-z]{3} \d{4} [\d:]{8}\z"
+    return t.rlike(f"{bare}|{named}|{_ASC}|{_SLASH}")
+
+
+def lacks_zone(zone: Column) -> Column:
+    return F.trim(F.coalesce(zone.cast("string"), F.lit("")), F.lit(BLANKS)) == ""
+
+
+def stated_zones(df: DataFrame, zone: str) -> list[str]:
+    """The zones that the rows name, in order; at most as many as the zone database has."""
+    known = _abbreviations()[2]
+    rows = df.select(F.trim(F.col(zone).cast("string"), F.lit(BLANKS)).alias("z")).where(F.col("z").isin(list(known))).distinct()
+    return sorted(r["z"] for r in rows.collect())
+
+
 def estimate_zones(
     df: DataFrame,
-    sensor: str,
+    sensor: list[str],
     text: str,
     received: str,
     candidates: list[str],
     max_lag_s: int = 6 * 3600,
+    prior: str | None = None,
+    evidence: int = 8,
 ) -> DataFrame:
     """Estimate the zone of each sensor from its zone-less wall clocks and ingestion times.
 
     Every candidate zone's offset history turns a wall clock into an instant; it *violates* the alignment when
     that instant lies after the ingestion or more than ``max_lag_s`` before it, or never existed. The zone with
-    the fewest violations wins, then the smallest mean lag, then the name. One row per sensor:
-    ``sensor, zone, n, violations, mean_lag_s``. Sensors without any such text have no row; null sensors are
-    one group. Candidates are a bounded list, so the expansion is a constant factor; the counts are
-    pre-aggregated before the shuffle.
+    the fewest violations wins, then the smallest mean lag, then the one whose offset changed least over the
+    sensor's texts and whose database entry knows no summer time, then the name. A ``prior`` zone stays unless at
+    least ``evidence`` and more than half of the sensor's texts violate it and at most half violate the winner: late rows
+    and few texts do not overrule it. One row per sensor: its columns and ``zone, n, violations, mean_lag_s``. Sensors without any such text
+    have no row; null sensors are one group; rows without ingestion time do not count.
+
+    Each text is read once; the candidates are at most the zones of the database, so the expansion is a constant
+    factor, and its counts are added up before the shuffle.
     """
-    base = df.select(F.col(sensor).alias("sensor"), F.col(text).alias("__text"), F.unix_micros(F.col(received).cast("timestamp")).alias("__got"))
-    base = base.where(F.col("__text").isNotNull() & F.col("__got").isNotNull())
-    base = base.withColumn("__cand", F.explode(F.array(*[F.lit(c) for c in candidates])))
-    timed = normalise_times(base, "__text", "__cand", "__outcome", "__us")
-    local = F.trim("__text", F.lit(BLANKS)).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\z|^[A-Za-z]{3} [A-Za-z]{3} {1,2}\d{1,2} [\d:]{8} \d{4}\z|^\d{1,2}/\d{1,2}/\d{4} ")
-    lag = (F.col("__got") - F.col("__us")) / 1e6
-    fine = F.col("__outcome").isin("instant") & lag.between(0, max_lag_s)
-    scored = (
-        timed.where(local)
-        .groupBy("sensor", F.col("__cand").alias("zone"))
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.when(fine, 0).otherwise(1)).alias("violations"),
-            F.round(F.avg(F.when(fine, lag)), 3).alias("mean_lag_s"),
-        )
+    names = [f"__s{i}" for i in range(len(sensor))]
+    base = df.where(is_wall_clock(F.col(text)) & F.col(received).isNotNull()).select(
+        *[F.col(c).alias(n) for c, n in zip(sensor, names, strict=True)], F.col(text).alias("__text"), F.lit("UTC").alias("__utc"), F.unix_micros(F.col(received).cast("timestamp")).alias("__got"),
     )
-    best = F.min(F.struct("violations", F.coalesce("mean_lag_s", F.lit(float("inf"))), "zone", "n", "mean_lag_s"))
-    return scored.groupBy("sensor").agg(best.alias("b")).select("sensor", "b.zone", "b.n", "b.violations", "b.mean_lag_s")
+    walls = normalise_times(base, "__text", "__utc", "__outcome", "__wall").where(F.col("__outcome") == "instant")
+    choice = [F.struct(F.lit(c).alias("zone"), F.lit(int(_has_summer_time(c))).alias("summer")) for c in sorted({*candidates, *([prior] if prior else [])})]
+    tried = walls.select(*names, "__got", "__wall", F.explode(F.array(*choice)).alias("c"))
+    instant = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("__wall"), F.col("c.zone")))
+    tried = tried.select(*names, "__got", "__wall", F.col("c.zone").alias("zone"), F.col("c.summer").alias("summer"), instant.alias("__us"))
+    offset = F.col("__wall") - F.col("__us")
+    exists = offset_us(F.col("__us"), F.col("zone")) == offset
+    lag = F.col("__got") - F.col("__us")
+    fine = exists & lag.between(0, max_lag_s * 1_000_000)
+    scored = tried.groupBy(*names, "zone", "summer").agg(
+        F.count("*").alias("n"), F.sum(F.when(fine, 0).otherwise(1)).alias("violations"), F.sum(F.when(fine, lag)).alias("lags"),
+        F.min(offset).alias("least"), F.max(offset).alias("most"),
+    )
+    mean = F.round(F.col("lags") / (F.col("n") - F.col("violations")) / 1e6, 3)
+    scored = scored.withColumn("mean_lag_s", mean)
+    order = F.struct("violations", F.coalesce("mean_lag_s", F.lit(float("inf"))).alias("m"), (F.col("least") != F.col("most")).cast("int").alias("changes"), "summer", "zone", "n", "mean_lag_s")
+    best = scored.groupBy(*names).agg(F.min(order).alias("b"), F.min(F.when(F.col("zone") == (prior or ""), order)).alias("p"))
+    stays = F.col("p").isNotNull() & ~((F.col("p.violations") >= evidence) & (F.col("p.violations") * 2 > F.col("p.n")) & (F.col("b.violations") * 2 <= F.col("b.n")))
+    won = best.withColumn("w", F.when(stays, F.col("p")).otherwise(F.col("b")))
+    return won.select(*[F.col(n).alias(c) for n, c in zip(names, sensor, strict=True)], "w.zone", "w.n", "w.violations", "w.mean_lag_s")
+
+
+@functools.lru_cache(maxsize=1024)
+def _has_summer_time(zone: str) -> bool:
+    z = zoneinfo.ZoneInfo(zone)
+    return len({dt.datetime(2024, m, 1, tzinfo=z).utcoffset() for m in (1, 7)}) > 1
+
+
+def fill_zones(df: DataFrame, sensor: list[str], text: str, zone: str, received: str, candidates: list[str], default_zone: str = "UTC", max_lag_s: int = 6 * 3600) -> DataFrame:
+    """``df`` with a zone in every row: the stated one, else the sensor's estimate with ``default_zone`` as prior.
+
+    Only sensors whose estimate differs from the default are joined; the rows of a hot sensor stay where they are as long as
+    those are few, which AQE sees at run time.
+    """
+    lacking = df.where(lacks_zone(F.col(zone)))
+    other = estimate_zones(lacking, sensor, text, received, candidates, max_lag_s, default_zone).where(F.col("zone") != default_zone)
+    other = other.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(sensor)], F.col("zone").alias("__zone"))
+    keyed = other.toDF(*sensor, "__zone")
+    joined = df.join(keyed, same_keys(df, keyed, sensor) & lacks_zone(df[zone]), "left")
+    filled = F.when(~lacks_zone(df[zone]), df[zone]).otherwise(F.coalesce(keyed["__zone"], F.lit(default_zone)))
+    return joined.select(*[filled.alias(zone) if c == zone else df[c] for c in df.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +68,17 @@ def p2_durations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- 3: nested records ------------------------------------------------------------------------------------
+def _nested_values(triples: DataFrame, src_table: str, parent: str, paths: list[str]) -> DataFrame:
+    """The values at ``paths``, taken from the flat tables of the groups that they fall into."""
+    groups = flatten.pivot_groups(triples, paths)
+    values = F.explode(F.array(*[F.struct(F.lit(p).alias("field_path"), F.col(f"leaf{i}").alias("text")) for i, p in enumerate(paths)]))
+    return groups.select(F.lit(src_table).alias("src_table"), F.col(parent).alias("parent_key"), "ordinal", values.alias("v")).select("src_table", "parent_key", "v.field_path", "ordinal", "v.text")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     cloud = flatten.parse_triples(table(spark, sf, "cloud_audit"), "line_no", "body", CLOUD_PATHS)
     stix = flatten.parse_triples(table(spark, sf, "stix_objects"), "rec_no", "body", STIX_PATHS, wrapper=None)
-    rows = cloud.select(F.lit("cloud_audit").alias("src_table"), F.col("record_id").alias("parent_key"), F.col("path").alias("field_path"), "ordinal", F.col("val").alias("text")).unionByName(
-        stix.select(F.lit("stix_objects").alias("src_table"), F.col("source_key").alias("parent_key"), F.col("path").alias("field_path"), "ordinal", F.col("val").alias("text"))
-    )
+    rows = _nested_values(cloud, "cloud_audit", "record_id", CLOUD_PATHS).unionByName(_nested_values(stix, "stix_objects", "source_key", STIX_PATHS))
     text = F.trim("text", F.lit(timestamps.BLANKS))
     micro = F.round(text.try_cast("decimal(30,15)") * F.lit(1_000_000), 0).try_cast("bigint").cast("string")
     val = F.when(F.col("field_path") == CLOUD_PATHS[0], micro).otherwise(text)
@@ -91,6 +98,18 @@ def p3_external_references(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.pivot_group(triples, "external_references[]", ["source_name", "url", "external_id", "hashes.SHA-256"])
 
 
+def p3_signins(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of the cloud records themselves: one row each, with the leaves that lie in no array."""
+    triples = flatten.parse_triples(table(spark, sf, "cloud_audit"), "line_no", "body")
+    return flatten.pivot_group(triples, "", ["category", "eventName", "location.city", "location.country", "location.geolocation.lat", "properties.appDisplayName", "eventTime"])
+
+
+def p3_policies(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of the policies applied to a sign-in; ``parent_position`` and ``record_no`` lead to its record."""
+    triples = flatten.parse_triples(table(spark, sf, "cloud_audit"), "line_no", "body")
+    return flatten.pivot_group(triples, "properties.appliedPolicies[]", ["id", "result", "target.appDisplayName"])
+
+
 # -- 4: intervals -----------------------------------------------------------------------------------------
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "risk_incidents")
@@ -106,42 +125,60 @@ def p4_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- 5: timestamps ----------------------------------------------------------------------------------------
-def stored_times(spark: SparkSession, sf: str) -> DataFrame:
-    """``src_table, record_key, text, tz_name`` of the three tables' time texts."""
-    events = table(spark, sf, "security_events").select(F.lit("security_events").alias("src_table"), F.col("event_id").cast("string").alias("record_key"), F.col("time").alias("text"), "tz_name")
-    seen = table(spark, sf, "sightings").select(F.lit("sightings").alias("src_table"), F.col("id").alias("record_key"), F.col("first_seen").alias("text"), "tz_name")
-    lines = table(spark, sf, "cloud_audit").select(F.to_json(F.struct(F.col("line_no"), F.col("tz_name"))).alias("line"), "body")
-    cloud = flatten.parse_triples(lines, "line", "body", ["eventTime"]).select(
-        F.lit("cloud_audit").alias("src_table"), F.col("record_id").alias("record_key"), F.col("val").alias("text"), F.get_json_object("source_key", "$.tz_name").alias("tz_name")
+def stored_times(spark: SparkSession, sf: str, zone_missing: bool | None = None) -> DataFrame:
+    """``src_table, record_key, text, tz_name, received, sensor`` of the three tables' time texts; of all rows, or only those
+    that lack a zone (or do not), which the scans see."""
+    def rows(name: str) -> DataFrame:
+        t = table(spark, sf, name)
+        lacks = timestamps.lacks_zone(F.col("tz_name"))
+        return t if zone_missing is None else t.where(lacks if zone_missing else ~lacks)
+
+    clean = lambda c: F.lower(F.trim(c, F.lit(timestamps.BLANKS)))
+    events = rows("security_events").select(F.lit("security_events").alias("src_table"), F.col("event_id").cast("string").alias("record_key"), F.col("time").alias("text"), "tz_name", F.col("received_at").alias("received"), clean(F.col("src_hostname")).alias("sensor"))
+    seen = rows("sightings").select(F.lit("sightings").alias("src_table"), F.col("id").alias("record_key"), F.col("first_seen").alias("text"), "tz_name", F.col("added_at").alias("received"), clean(F.col("created_by_ref")).alias("sensor"))
+    of_line = "line_no long, tz_name string, received_at timestamp_ntz, shape string"
+    lines = rows("cloud_audit").select(F.to_json(F.struct("line_no", "tz_name", F.col("received_at").cast("timestamp_ntz").alias("received_at"), "shape")).alias("line"), "body")
+    cloud = flatten.parse_triples(lines, "line", "body", ["eventTime"]).select("record_id", "val", F.from_json("source_key", of_line).alias("l")).select(
+        F.lit("cloud_audit").alias("src_table"), F.col("record_id").alias("record_key"), F.col("val").alias("text"), F.col("l.tz_name").alias("tz_name"), F.col("l.received_at").alias("received"), F.col("l.shape").alias("sensor")
     )
-    return events.unionByName(seen).unionByName(cloud)
+    parts = [events, seen, cloud]
+    return functools.reduce(DataFrame.unionByName, [p.withColumn("received", F.unix_micros(F.col("received").cast("timestamp"))) for p in parts])
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    times = stored_times(spark, sf)
+def _unusual(times: DataFrame) -> DataFrame:
     # a canonical text of a valid date needs no work; the cheap test keeps most rows out of the rest of the plan
     valid = times["text"].rlike(timestamps.CANONICAL) & times["text"].try_cast("timestamp").isNotNull()
-    rest = times.where(times["text"].isNotNull() & ~valid)
-    timed = timestamps.normalise_times(rest, "text", "tz_name").where(F.col("outcome").isNotNull())
-    return timed.select("src_table", "record_key", "outcome", "instant_us").distinct()
+    return times.where(times["text"].isNotNull() & ~valid)
 
 
-def p5_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """The zone of each host whose events lack one, estimated from the ingestion times."""
-    rows = table(spark, sf, "security_events").where(F.trim(F.coalesce("tz_name", F.lit("")), F.lit(timestamps.BLANKS)) == "")
-    host = F.lower(F.trim("src_hostname", F.lit(timestamps.BLANKS)))
-    return timestamps.estimate_zones(rows.withColumn("host", host), "host", "time", "received_at", ZONE_CANDIDATES)
+def zone_candidates(spark: SparkSession, sf: str) -> list[str]:
+    """The zones that the three tables name."""
+    names = [table(spark, sf, n).select("tz_name") for n in ("security_events", "sightings", "cloud_audit")]
+    return timestamps.stated_zones(functools.reduce(DataFrame.unionByName, names), "tz_name")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Zone-less rows get the zone that their sensor's ingestion times speak for, with UTC, which the data define, as the prior.
+
+    Of a record that is stored several times the copy that arrived first counts (then the least instant)."""
+    lacking = timestamps.fill_zones(
+        _unusual(stored_times(spark, sf, True)).withColumn("got", F.timestamp_micros("received")), ["src_table", "sensor"], "text", "tz_name", "got", zone_candidates(spark, sf)
+    ).drop("got")
+    times = _unusual(stored_times(spark, sf, False)).unionByName(lacking)
+    timed = timestamps.normalise_times(times, "text", "tz_name").where(F.col("outcome").isNotNull())
+    first = F.min(F.struct(F.coalesce("received", F.lit((1 << 63) - 1)).alias("received"), "instant_us", "outcome")).alias("f")
+    return timed.groupBy("src_table", "record_key").agg(first).select("src_table", "record_key", "f.outcome", "f.instant_us")
 
 
-ZONE_CANDIDATES = [
-    "UTC", "Europe/London", "Europe/Berlin", "America/New_York", "America/Los_Angeles", "America/Phoenix",
-    "Asia/Kolkata", "Asia/Kathmandu", "Asia/Tokyo", "Australia/Sydney", "Australia/Lord_Howe",
-]
+def p5_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """The zone of each host whose events lack one, estimated from the ingestion times."""
+    rows = stored_times(spark, sf, True).where(F.col("src_table") == "security_events").withColumn("got", F.timestamp_micros("received")).withColumnRenamed("sensor", "host")
+    return timestamps.estimate_zones(rows, ["host"], "text", "got", zone_candidates(spark, sf), prior="UTC")
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        p1_found, p1_report, p2_found, p2_durations, p3_found, p3_groups, p3_external_references, p4_found, p4_coverage, p5_found, p5_zones,
+        p1_found, p1_report, p2_found, p2_durations, p3_found, p3_groups, p3_external_references, p3_signins, p3_policies, p4_found, p4_coverage, p5_found, p5_zones,
     )}
 
 

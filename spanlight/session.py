@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,10 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local mode) a temporary folder is made.
+    Only in local mode, and only where that setting is absent, a temporary folder is made; on a cluster a folder of
+    one machine would lose data, so there its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spanlight-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -65,16 +69,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+def materialise(df: DataFrame, label: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage of iterative plans; the files outlive lost executors.
-    They are removed when the interpreter ends.
+    Cuts the lineage of iterative plans; the files outlive lost executors. They are removed by :func:`discard`, or
+    when the interpreter ends.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by or []).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spanlight_path = path
+    return out
+
+
+def discard(df: DataFrame, part: str = "") -> None:
+    """Remove the files of a table that :func:`materialise` gave (or one partition of them); nothing may read them any more."""
+    path = getattr(df, "_spanlight_path", None)
+    if path:
+        _drop(df.sparkSession, f"{path}/{part}" if part else path)
 
 
 def ship_package(spark: SparkSession) -> None:
