@@ -62,8 +62,9 @@ def matches(events: DataFrame, collection: Collection, correlation: Correlation,
         keys = [text(correlation.aliases.get(g, {}).get(reference, g)).alias(f"k{i}") for i, g in enumerate(correlation.group_by)]
         values = [(number if numeric else text)(f).alias(f"v{i}") for i, f in enumerate(correlation.fields)]
         options.append(F.when(predicate[id(rule)], F.struct(F.lit(reference).alias("rule"), *keys, *values)))
-    found = F.filter(F.array(*options), lambda x: x.isNotNull())
-    return events.select(when.alias("ts"), F.col(f"`{seq}`").alias("seq"), F.explode(found).alias("m")).where(F.col("ts").isNotNull()).select("ts", "seq", "m.*")
+    # the plain test first: it reaches the scan, and only matching events are expanded
+    some = reduce(lambda a, b: a | b, [predicate[id(r)] for r in references.values()])
+    return events.where(some & when.isNotNull()).select(when.alias("ts"), F.col(f"`{seq}`").alias("seq"), F.explode(F.array(*options)).alias("m")).where(F.col("m").isNotNull()).select("ts", "seq", "m.*")
 
 
 def _keys(correlation: Correlation) -> list[str]:

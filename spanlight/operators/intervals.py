@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlight.operators.scan import running_sums
-
-BLOCK = 1 << 15
+BLOCK = 1 << 20
 
 
 def covered_periods(df: DataFrame, keys: list[str], start: str, end: str, block_width: int = BLOCK) -> DataFrame:
@@ -22,40 +20,40 @@ def covered_periods(df: DataFrame, keys: list[str], start: str, end: str, block_
     start, are left out; null keys form an entity of their own. Duplicates change nothing.
 
     The sweep runs in blocks of ``block_width`` units: no task holds more than one block of one entity, which
-    has at most ``block_width`` distinct boundaries.
+    has at most ``block_width`` distinct boundaries. The boundaries are shuffled twice, to add up equal ones (with a map-side
+    combine) and to lay each block out in order; between blocks only one row each travels: its total, where its prefix sum is
+    least, and its first boundary, from which follow the count it begins with, and the next close and boundary after it.
     """
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-    names = [f"__k{i}" for i in range(len(keys))]
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("whole"))  # never null itself
     boundary = F.explode(F.array(
-        F.struct(F.col(start).cast("long").alias("t"), F.lit(1).alias("p"), F.lit(0).alias("m")),
-        F.struct(F.col(end).cast("long").alias("t"), F.lit(0).alias("p"), F.lit(1).alias("m")),
+        F.struct(F.col(start).cast("long").alias("t"), F.lit(1).alias("d")),
+        F.struct(F.col(end).cast("long").alias("t"), F.lit(-1).alias("d")),
     ))
-    events = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], boundary.alias("e"))
-    block = F.floor(F.col("t") / F.lit(block_width)).cast("long")
     swept = (
-        events.select(*names, "e.*")
-        .withColumn("block", block)
-        .groupBy(*names, "block", "t")
-        .agg(F.sum("p").alias("plus"), F.sum("m").alias("minus"))
-        .withColumn("net", F.col("plus") - F.col("minus"))
+        rows.select(key.alias("g"), boundary.alias("e")).select("g", F.floor(F.col("e.t") / F.lit(block_width)).cast("long").alias("block"), "e.t", "e.d")
+        .groupBy("g", "block", "t").agg(F.sum("d").alias("net"))
     )
-    counted = running_sums(swept, names, "block", ["t"], {"after": "net"})
-    edges = (
-        counted.withColumn("opens", ((F.col("after") - F.col("net")) == 0).cast("int"))
-        .withColumn("closes", (F.col("after") == 0).cast("int"))
-        .where((F.col("opens") == 1) | (F.col("closes") == 1))
-        .select(*names, "block", "t", "opens", "closes")
+    in_block = Window.partitionBy("g", "block").orderBy("t")
+    counted = swept.withColumn("prefix", F.sum("net").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
+
+    blocks = counted.groupBy("g", "block").agg(F.sum("net").alias("total"), F.min(F.struct("prefix", "t")).alias("least"), F.min("t").alias("first"))
+    along = Window.partitionBy("g").orderBy("block")
+    blocks = blocks.withColumn("carry", F.coalesce(F.sum("total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the count never falls below 0, so a block closes a period where its least prefix takes back all it began with
+    closes_at = F.when(F.col("least.prefix") + F.col("carry") == 0, F.col("least.t"))
+    blocks = blocks.select(
+        F.col("g").alias("bg"), F.col("block").alias("bb"), "carry",
+        F.min(closes_at).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("next_close"),
+        F.lead("first").over(along).alias("next_first"),
     )
-    numbered = running_sums(edges, names, "block", ["t"], {"number": "opens"})
-    periods = numbered.groupBy(*names, "number").agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    # the i-th gap lies between period i and period i + 1: each period states its end under i, its start under i - 1
-    sides = periods.select(
-        *names,
-        F.explode(F.array(
-            F.struct(F.lit("period").alias("kind"), F.col("number").alias("n"), F.col("start").alias("s"), F.col("end").alias("e")),
-            F.struct(F.lit("gap").alias("kind"), F.col("number").alias("n"), F.col("end").alias("s"), F.lit(None).cast("long").alias("e")),
-            F.struct(F.lit("gap").alias("kind"), (F.col("number") - 1).alias("n"), F.lit(None).cast("long").alias("s"), F.col("start").alias("e")),
-        )).alias("x"),
-    ).select(*names, "x.*")
-    out = sides.groupBy(*names, "kind", "n").agg(F.max("s").alias("s"), F.max("e").alias("e")).where(F.col("s").isNotNull() & F.col("e").isNotNull())
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "kind", F.col("s").alias(start), F.col("e").alias(end))
+    joined = counted.join(blocks, (counted["g"] == blocks["bg"]) & (counted["block"] == blocks["bb"]), "inner")
+    after = F.col("prefix") + F.col("carry")
+    edges = joined.select("g", "block", "t", "next_close", "next_first", (after - F.col("net") == 0).alias("opens"), (after == 0).alias("closes")).where("opens or closes")
+    upto = F.coalesce(F.min(F.when(F.col("closes"), F.col("t"))).over(in_block.rowsBetween(0, Window.unboundedFollowing)), F.col("next_close"))
+    beyond = F.coalesce(F.lead("t").over(in_block), F.col("next_first"))
+    spans = edges.select("g", "t", "opens", "closes", upto.alias("upto"), beyond.alias("beyond")).select("g", F.explode(F.array(
+        F.when(F.col("opens"), F.struct(F.lit("period").alias("kind"), F.col("t").alias("s"), F.col("upto").alias("e"))),
+        F.when(F.col("closes"), F.struct(F.lit("gap").alias("kind"), F.col("t").alias("s"), F.col("beyond").alias("e"))),
+    )).alias("x")).where(F.col("x.e").isNotNull())
+    return spans.select(*[F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys)], "x.kind", F.col("x.s").alias(start), F.col("x.e").alias(end))

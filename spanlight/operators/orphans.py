@@ -68,11 +68,12 @@ def lifetimes(tables: list[DataFrame], key: str = "id", start: str = "added_at",
     return reduce(DataFrame.unionByName, parts)
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = bloom.BLOCKS) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int | None = None) -> DataFrame:
     """The references whose target had no live row at their time: ``refs``' columns and ``reason``.
 
-    1. A Bloom filter over the parent keys, of fixed size, is broadcast: negatives are definite orphans
-       (``missing``) and leave here, without a shuffle.
+    1. A Bloom filter over the parent keys is broadcast: negatives are definite orphans (``missing``) and leave here,
+       without a shuffle. It is sized by the approximate number of distinct parent keys (``blocks`` overrides that); one
+       that is too large to broadcast is partitioned, and the references are shuffled to it.
     2. The filter-positive references are verified exactly. Per target (added up before the shuffle) their earliest
        time is joined to the earliest start of a row that was never removed: if that came first, all references to
        the target are sound. The other targets are doubtful; a second Bloom filter, of these, keeps the sound
@@ -87,6 +88,8 @@ def find_orphans(refs: DataFrame, parents: DataFrame, blocks: int = bloom.BLOCKS
     start never lives but its id exists. Repeated rows and ties change nothing.
     """
     columns = refs.columns
+    if blocks is None:
+        blocks = bloom.blocks_for(parents.agg(F.approx_count_distinct("target_id", 0.02)).first()[0])
     held = materialise(bloom.build(parents, "target_id", blocks), "bloom")
     flagged = bloom.probe(refs, "target_id", held, blocks, "maybe")
     positive = flagged.where("maybe").select(*columns)

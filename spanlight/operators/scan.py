@@ -23,17 +23,19 @@ def running_sums(df: DataFrame, keys: list[str], block: str, order: list[str], s
     ``keys`` name the group (nulls are a group of their own), ``block`` an integer column that does not
     decrease along ``order``; ``order`` must be unique within a group for a defined result. Nulls count as 0.
     """
-    inner = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, block).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__tot_{r}") for r, c in sums.items()])
+    # the keys as one struct: it is never null and nulls in it are equal, so the join keeps the windows' partitioning
+    df_columns = df.columns
+    df = df.withColumn("__g", F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("__whole")))
+    inner = Window.partitionBy("__g", block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("__g").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("__g", block).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__tot_{r}") for r, c in sums.items()])
     carry = totals.select(
-        *[F.col(k).alias(f"__k_{i}") for i, k in enumerate([*keys, block])],
+        F.col("__g").alias("__cg"), F.col(block).alias("__cb"),
         *[F.coalesce(F.sum(f"__tot_{r}").over(earlier), F.lit(0)).alias(f"__carry_{r}") for r in sums],
     )
     local = df.withColumns({f"__in_{r}": F.sum(F.coalesce(F.col(c), F.lit(0))).over(inner) for r, c in sums.items()})
-    on = reduce(lambda a, b: a & b, [local[k].eqNullSafe(carry[f"__k_{i}"]) for i, k in enumerate([*keys, block])])
-    joined = local.join(carry, on, "inner")
-    return joined.select(*[local[c] for c in df.columns], *[(F.col(f"__in_{r}") + F.col(f"__carry_{r}")).alias(r) for r in sums])
+    joined = local.join(carry, (local["__g"] == carry["__cg"]) & (local[block] == carry["__cb"]), "inner")
+    return joined.select(*[local[c] for c in df_columns], *[(F.col(f"__in_{r}") + F.col(f"__carry_{r}")).alias(r) for r in sums])
 
 
 def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: int, name: str = "island", inclusive: bool = False, width: int = 6 * 3600) -> DataFrame:
@@ -44,14 +46,13 @@ def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: in
     group is spread over as many tasks as it has blocks.
     """
     columns = df.columns
-    cut = df.withColumn("__block", F.floor(F.col(time) / max(gap, width)).cast("long"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    last = cut.groupBy(*keys, "__block").agg(F.max(time).alias("__max"))
-    last = last.select(*[F.col(k).alias(f"__l_{i}") for i, k in enumerate([*keys, "__block"])], F.max("__max").over(before).alias("__carried"))
-    on = reduce(lambda a, b: a & b, [cut[k].eqNullSafe(last[f"__l_{i}"]) for i, k in enumerate([*keys, "__block"])])
-    joined = cut.join(last, on, "inner").select(*[cut[c] for c in cut.columns], "__carried")
-    previous = F.coalesce(F.lag(time).over(Window.partitionBy(*keys, "__block").orderBy(time, *order)), F.col("__carried"))
+    cut = df.withColumns({"__block": F.floor(F.col(time) / max(gap, width)).cast("long"), "__g": F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("__whole"))})
+    before = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    last = cut.groupBy("__g", "__block").agg(F.max(time).alias("__max"))
+    last = last.select(F.col("__g").alias("__lg"), F.col("__block").alias("__lb"), F.max("__max").over(before).alias("__carried"))
+    joined = cut.join(last, (cut["__g"] == last["__lg"]) & (cut["__block"] == last["__lb"]), "inner").select(*[cut[c] for c in cut.columns], "__carried")
+    previous = F.coalesce(F.lag(time).over(Window.partitionBy("__g", "__block").orderBy(time, *order)), F.col("__carried"))
     since = F.col(time) - previous
     fresh = F.coalesce((since >= gap if inclusive else since > gap).cast("int"), F.lit(0))
-    numbered = running_sums(joined.withColumn("__fresh", fresh), keys, "__block", [time, *order], {name: "__fresh"})
+    numbered = running_sums(joined.withColumn("__fresh", fresh).drop("__g"), keys, "__block", [time, *order], {name: "__fresh"})
     return numbered.select(*[F.col(f"`{c}`") for c in columns if c != name], name)

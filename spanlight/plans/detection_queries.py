@@ -121,6 +121,41 @@ def _(spark, sf):
     return found.groupBy("rule_title").agg(F.count("*").alias("n"))
 
 
+def many_rules(n: int) -> tuple[Collection, str]:
+    """``n`` rules over five fields, of six forms, and the same as SQL: a table of (rule, test) alternatives."""
+    tools = ["certutil", "powershell", "bash", "ssh", "python3", "curl", "rundll32", "wscript"]
+    rules, legs = [], []
+    for i in range(n):
+        tool, end = tools[i % len(tools)], f"{i:03d}"
+        if i % 6 == 0:
+            body, test = f"{{s: {{process_command_line|contains: 'cdn{i}.'}}, condition: s}}", f"contains(lower(process_command_line), 'cdn{i}.')"
+        elif i % 6 == 1:
+            body, test = f"{{s: {{src_hostname|endswith: '-00{end}', category: dns}}, t: {{action: blocked}}, condition: s and not t}}", f"ends_with(lower(src_hostname), '-00{end}') AND coalesce(lower(category) = 'dns', false) AND NOT coalesce(lower(action) = 'blocked', false)"
+        elif i % 6 == 2:
+            body, test = f"{{s: {{process_command_line|contains|all: ['{tool}', '{i} ']}}, condition: s}}", f"contains(lower(process_command_line), '{tool}') AND contains(lower(process_command_line), '{i} ')"
+        elif i % 6 == 3:
+            body, test = f"{{s: {{dns_query_name|startswith: ['ines{i % 40}.', 'cdn{i % 40}.'], src_hostname|contains: '-{end[1:]}'}}, condition: s}}", f"(starts_with(lower(dns_query_name), 'ines{i % 40}.') OR starts_with(lower(dns_query_name), 'cdn{i % 40}.')) AND contains(lower(src_hostname), '-{end[1:]}')"
+        elif i % 6 == 4:
+            body, test = f"{{s: {{process_file_path|endswith: '{tool}*'}}, t: {{src_ip|startswith: '10.{i % 256}.'}}, condition: all of them}}", f"regexp_matches(lower(process_file_path), '{tool}.*$') AND starts_with(lower(src_ip), '10.{i % 256}.')"
+        else:
+            body, test = f"{{s: [{{src_hostname: 'lt-oslo-00{end}'}}, {{dst_hostname: 'fs-pune-00{end}'}}], condition: s}}", f"coalesce(lower(src_hostname) = 'lt-oslo-00{end}', false) OR coalesce(lower(dst_hostname) = 'fs-pune-00{end}', false)"
+        rules.append(f"title: rule {i:04d}\ndetection: {body}")
+        legs.append(f"SELECT 'rule {i:04d}' AS rule_title, count(*) AS n FROM security_events WHERE {test} HAVING count(*) > 0")
+    return load_rules("\n---\n".join(rules)), " UNION ALL ".join(legs)
+
+
+def _many(name: str, n: int) -> None:
+    collection, sql = many_rules(n)
+
+    @_query(name, sql)
+    def _(spark, sf):
+        return detect(table(spark, sf, "security_events"), collection, []).groupBy("rule_title").agg(F.count("*").alias("n"))
+
+
+_many("detect_100_rules", 100)
+_many("detect_1000_rules", 1000)
+
+
 @_query("detect_matched_selections", "SELECT event_id, CASE WHEN event_type = 'error' AND value > 100 THEN 'big,err' WHEN event_type = 'error' THEN 'err' ELSE 'big' END AS selections FROM events WHERE event_type = 'error' OR value > 100")
 def _(spark, sf):
     rules = _rule("title: t\ndetection: {big: {value|gt: 100}, err: {event_type: error}, condition: 1 of them}")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,17 +12,32 @@ from pyspark.sql import types as T
 
 from spanlight.rules.fields import Resolver, string_leaves
 from spanlight.rules.match import all_of, any_of, match_field, match_keywords
+from spanlight.rules.plain import plain_rule
 from spanlight.rules.model import Collection, Filter, Rule, RuleError, condition_names, selected
 
 _BLOCK = re.compile(r"(.+)\[(any|all|all_or_empty|none)\]\Z")
 
 
-@dataclass
 class Compiled:
-    rule: Rule
-    predicate: Column
-    selections: dict[str, Column]
-    matched_selections: Column
+    """A rule and its predicate. ``text`` is the predicate as SQL text where the rule is plain enough for that
+    (:mod:`spanlight.rules.plain`); Columns are made of it when they are asked for, which is dear for many rules."""
+
+    def __init__(self, rule: Rule, text: str | None = None, selection_text: dict[str, str] | None = None, predicate: Column | None = None, selections: dict[str, Column] | None = None, source: Column | None = None) -> None:
+        self.rule, self.text, self.selection_text, self.source = rule, text, selection_text or {}, source
+        self._predicate, self._selections = predicate, selections
+
+    @functools.cached_property
+    def predicate(self) -> Column:
+        own = self._predicate if self._predicate is not None else F.expr(self.text)
+        return own if self.source is None else self.source & own
+
+    @functools.cached_property
+    def selections(self) -> dict[str, Column]:
+        return self._selections if self._selections is not None else {n: F.expr(t) for n, t in self.selection_text.items()}
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._selections if self._selections is not None else self.selection_text)
 
 
 def compile_detection(body, resolver: Resolver, leaves: Column) -> Column:
@@ -129,15 +144,16 @@ def filters_for(rule: Rule, filters: list[Filter]) -> list[Filter]:
 def compile_rule(rule: Rule, resolver: Resolver, leaves: Column, filters: list[Filter] = (), logsource: dict[str, Column | str] | None = None) -> Compiled:
     """The rule's predicate: its first true condition counts; every applying filter is AND-ed to it."""
     used = set().union(*[condition_names(t, list(rule.detection)) for t in rule.conditions])
+    source = logsource_column(rule.logsource, logsource) if logsource and any(rule.logsource.get(k) for k in logsource) else None
+    plain = plain_rule(rule, used, filters_for(rule, filters), resolver)
+    if plain is not None:
+        return Compiled(rule, *plain, source=source)
     selections = {n: compile_detection(body, resolver, leaves) for n, body in rule.detection.items() if n in used}
     predicate = any_of([condition_column(t, selections) for t in rule.conditions])
     for f in filters_for(rule, filters):
         own = {n: compile_detection(body, resolver, leaves) for n, body in f.detection.items()}
         predicate = predicate & any_of([condition_column(t, own) for t in f.conditions])
-    if logsource:
-        predicate = logsource_column(rule.logsource, logsource) & predicate
-    matched = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in selections.items()]), lambda x: x.isNotNull()) if selections else F.array().cast("array<string>")
-    return Compiled(rule, predicate, selections, matched)
+    return Compiled(rule, predicate=predicate, selections=selections, source=source)
 
 
 def compile_collection(collection: Collection, schema: T.StructType, json: set[str] = frozenset(), mapping: dict | None = None, logsource: dict | None = None, extend: Callable[[Resolver], Resolver] | None = None) -> list[Compiled]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -212,7 +213,7 @@ def _correlation(doc: dict) -> Correlation:
     if kind not in ("event_count", "value_count", "value_sum", "value_avg", "value_percentile", "value_median", "temporal", "temporal_ordered"):
         raise RuleError(f"unknown correlation type {kind!r}")
     rules = body.get("rules") or []
-    rules = [rules] if isinstance(rules, str) else list(rules)
+    rules = [rules] if isinstance(rules, str) else [str(r) for r in rules]
     if not rules or "timespan" not in body:
         raise RuleError("a correlation needs rules and a timespan")
     condition = body.get("condition")
@@ -245,7 +246,15 @@ def _correlation(doc: dict) -> Correlation:
     )
 
 
+def _plain(doc: dict) -> dict:
+    """The document with its title, id, name, level, status and tags as text: YAML reads ``id: 1`` as a number."""
+    texts = {k: str(doc[k]) for k in ("title", "id", "name", "level", "status") if isinstance(doc.get(k), (bool, int, float, dt.date))}
+    tags = doc.get("tags")
+    return doc | texts | ({"tags": [str(t) for t in tags]} if isinstance(tags, list) else {"tags": [str(tags)]} if tags else {})
+
+
 def read_document(doc: dict) -> Rule | Correlation | Filter:
+    doc = _plain(doc)
     if "correlation" in doc:
         return _correlation(doc)
     if "filter" in doc:

@@ -117,14 +117,18 @@ def test_orphans_empty_tables(spark):
     assert none.count() == 0
 
 
-def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
+@pytest.mark.parametrize("broadcast", [1 << 18, 8])
+def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark, monkeypatch, broadcast):
+    """Broadcast, and partitioned with the probing rows shuffled to it."""
+    monkeypatch.setattr(bloom, "BROADCAST_BLOCKS", broadcast)
     keys = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     other = spark.range(20_000).select(F.concat(F.lit("o"), F.col("id")).alias("key"), F.lit(1).alias("bf_block"))
     made = bloom.build(keys, "key", 1024)
     assert bloom.probe(keys, "key", made, 1024).where("not maybe").count() == 0
     assert bloom.probe(other, "key", made, 1024).where("maybe").count() < 400
+    assert bloom.blocks_for(20_000) == 512 and bloom.blocks_for(0) == 64
     with pytest.raises(ValueError):
-        bloom.build(keys, "key", bloom.MAX_BLOCKS + 1)
+        bloom.build(keys, "key", 0)
 
 
 # -- nested records ---------------------------------------------------------------------------------------
