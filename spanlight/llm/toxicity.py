@@ -11,7 +11,8 @@ its worst segment.
 The reviewed sample labels whole documents, with errors. Only features that toxic documents hold significantly
 more often are used, beside the seed words, so that mislabelled documents cannot teach common sentences. A
 segment's target is the share of toxic verdicts among its documents; in rounds, verdicts that another segment
-explains are left out. The categories' targets are the toxic segments in which a category's seed words occur.
+explains are left out. Which category a toxic segment belongs to is bootstrapped: seed words begin it, what surrounds them
+decides. Features, targets and categories of a fold are found without that fold's documents.
 
 Training is done on the driver on at most ``max_labelled`` reviewed documents (those with the least hash of
 their id) and at most ``max_features`` features; scoring is a narrow pass over all documents.
@@ -242,16 +243,23 @@ class Chain:
     bias: np.ndarray
     threshold: float
 
-    def score_segments(self, lists: list[list[str]]) -> np.ndarray:
-        """Probabilities (segments x categories)."""
-        get = self.index.get
-        columns, lengths = [], []
-        for tokens in lists:
-            own = [c for f in features(tokens) if (c := get(f)) is not None]
-            columns += own
-            lengths.append(len(own))
-        of = np.repeat(np.arange(len(lists)), lengths)
-        columns = np.array(columns, np.int64)
+    def openings(self) -> dict[str, tuple[int, dict[str, int], dict[str, int]]]:
+        """By a feature's first word: the word's own number (or -1), the pairs with the next word, those with the next but one."""
+        out: dict[str, tuple[int, dict[str, int], dict[str, int]]] = {}
+        for f, c in self.index.items():
+            words = f.split(" ")
+            own = out.get(words[0], (-1, {}, {}))
+            if len(words) == 1:
+                own = (c, own[1], own[2])
+            else:
+                own[len(words) - 1][words[-1]] = c
+            out[words[0]] = own
+        return out
+
+    def score_columns(self, lists: list[list[int]]) -> np.ndarray:
+        """Probabilities (segments x categories) from the segments' feature numbers."""
+        of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        columns = np.array([c for x in lists for c in x], np.int64)
         out = np.zeros((len(lists), len(CATEGORIES)))
         for c in range(len(CATEGORIES)):
             z = np.bincount(of, self.weights[columns, c], len(lists)) + self.bias[c] + out[:, :c] @ self.links[c, :c]
@@ -259,6 +267,21 @@ class Chain:
         return out
 
 
+def known_columns(tokens: list[str], openings: dict[str, tuple[int, dict[str, int], dict[str, int]]]) -> list[int]:
+    """The numbers of a segment's known features; words that begin none cost one look-up."""
+    out = []
+    for i, token in enumerate(tokens):
+        own = openings.get(token)
+        if own is not None:
+            if own[0] >= 0:
+                out.append(own[0])
+            if own[1] and i + 1 < len(tokens) and (c := own[1].get(tokens[i + 1])) is not None:
+                out.append(c)
+            if own[2] and i + 2 < len(tokens) and (c := own[2].get(tokens[i + 2])) is not None:
+                out.append(c)
+    return out
+
+
 def telling_features(docs: list[set[str]], label: np.ndarray, seeds: set[str], max_features: int = MAX_FEATURES) -> list[str]:
     """The features that toxic documents hold significantly more often than their share, most telling first, and the seeds.
 
@@ -283,72 +306,120 @@ def telling_features(docs: list[set[str]], label: np.ndarray, seeds: set[str], m
     return list(dict.fromkeys([*sorted(seeds), *(f for _, f in leaning[:max_features])]))
 
 
-def train(texts: list[str], labels: list[float], folds: int = FOLDS, max_features: int = MAX_FEATURES) -> Chain:
+@dataclass
+class _Prepared:
+    """What one model of the chain is trained on: known features, the segments by them, weights and targets of the segments."""
+
+    known: set[int]
+    x: Rows
+    mass: np.ndarray
+    target: np.ndarray
+    shares: np.ndarray
+
+
+def category_shares(x: Rows, toxic_mass: np.ndarray, hits: np.ndarray, seed_columns: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Which category the toxic segments belong to: bootstrapped from seed words, by what surrounds them.
+
+    The segments with a seed word begin as that category's; what their *other* features say of the categories is
+    learned (the seed words themselves are held out) and assigns all segments anew, those without a seed word included, and so on.
+    A segment without other features keeps what its seed words say; one without either belongs to all alike.
+    """
+    k = hits.shape[1]
+    said = hits / np.maximum(hits.sum(1, keepdims=True), 1)
+    share = np.where(hits.any(1)[:, None], said, 0.0)
+    other = np.ones(x.width)
+    other[seed_columns] = 0.0
+    context = x.times(other) > 0
+    for _ in range(rounds):
+        count = np.stack([x.transposed_times(toxic_mass * share[:, c]) for c in range(k)], 1) * other[:, None]
+        size = toxic_mass @ share
+        likely = np.log((count + 0.5 * size / max(size.sum(), 1e-9) + 1e-3) / (size + 1.0))
+        score = np.stack([x.times(likely[:, c] * other) for c in range(k)], 1) + np.log(size + 1.0)
+        score -= score.max(1, keepdims=True)
+        learned = np.exp(score) / np.exp(score).sum(1, keepdims=True)
+        share = np.where(context[:, None], learned, said)
+    return np.where(share.sum(1, keepdims=True) > 0, share, 1.0 / k)
+
+
+def train(texts: list[str], labels: list[float], folds: int = FOLDS, max_features: int = MAX_FEATURES, seed_weight: float = SEED_WEIGHT, held_out: list[float] | None = None) -> Chain:
     """Train the chain on reviewed texts (labels: the reviewers' mean, 0..1). Works with none at all: then the
-    seed words decide alone."""
+    seed words decide alone (``seed_weight`` 0 leaves their weights to the labels too).
+
+    Folds are cut by document, equal texts together. For every fold the features are selected, the segments relabelled and
+    the categories assigned without its documents, so that the out-of-fold predictions, which later categories get as
+    inputs and the threshold is chosen on, have not seen the labels they are compared with. ``held_out`` takes up the
+    documents' out-of-fold scores.
+    """
     cutter, seeds, certain = Segmenter(), _seeds(), _certain()
     label = np.array(labels, float)
-    cut = [[tuple(s) for s in cutter.segments(text)] for text in texts]
-    made: dict[tuple[str, ...], list[str]] = {}
-    for own in cut:
-        for piece in own:
-            if piece not in made:
-                made[piece] = features(list(piece))
-    chosen = telling_features([{f for piece in own for f in made[piece]} for own in cut], label, set().union(*seeds.values()), max_features)
-    index = {f: i for i, f in enumerate(chosen)}
-
-    # the distinct segments, by their known features; a segment without any is the bias' business
-    numbers: dict[tuple[int, ...], int] = {}
-    number_of = {piece: numbers.setdefault(tuple(sorted({index[f] for f in own if f in index})), len(numbers)) for piece, own in made.items()}
-    docs = [sorted({number_of[piece] for piece in own}) for own in cut]
+    cut = [sorted({tuple(s) for s in cutter.segments(text)}) for text in texts]
+    made = {piece: features(list(piece)) for own in cut for piece in own}
+    per_doc = [{f for piece in own for f in made[piece]} for own in cut]
+    fold_of = np.array([zlib.crc32(" ".join(" ".join(p) for p in own).encode()) % folds for own in cut], np.int64)
+    all_seeds = set().union(*seeds.values())
+    chosen = {}
+    for k in [*range(folds), folds]:  # the last is trained on all
+        kept = [i for i in range(len(cut)) if fold_of[i] != k]
+        chosen[k] = telling_features([per_doc[i] for i in kept], label[kept], all_seeds, max_features)
+    index = {f: i for i, f in enumerate(dict.fromkeys([*chosen[folds], *(f for own in chosen.values() for f in own)]))}
+
+    # the distinct segments of each fold, by their known features
+    numbers: dict[tuple[int, tuple[int, ...]], int] = {}
+    by_piece = {piece: tuple(sorted({index[f] for f in own if f in index})) for piece, own in made.items()}
+    docs = [sorted({numbers.setdefault((int(k), by_piece[piece]), len(numbers)) for piece in own}) for k, own in zip(fold_of, cut, strict=True)]
     owner = np.array([i for i, own in enumerate(docs) for _ in own], np.int64)
     piece = np.array([p for own in docs for p in own], np.int64)
     n = len(numbers)
-    x = Rows([list(c) for c in numbers], len(index))
+    fold = np.array([k for k, _ in numbers], np.int64)
     hits = np.zeros((n, len(SEEDS)), bool)
     priors = np.zeros((len(CATEGORIES), len(index)))
     for c, words in enumerate(seeds.values()):
         own = {index[w] for w in words}
-        priors[c, list(own)] = SEED_WEIGHT
-        priors[-1, [index[w] for w in words & certain]] = SEED_WEIGHT + 1.5
-        hits[:, c] = [not own.isdisjoint(k) for k in numbers]
-
+        priors[c, list(own)] = seed_weight
+        priors[-1, [index[w] for w in words & certain]] = seed_weight * 1.75
+        hits[:, c] = [not own.isdisjoint(columns) for _, columns in numbers]
+    seed_columns = np.array(sorted(index[w] for w in all_seeds), np.int64)
     none, verdict = np.zeros((n, 0)), label[owner] if n else label
-    mass = np.bincount(piece, minlength=n).astype(float)
-    target = np.bincount(piece, verdict, n) / np.maximum(mass, 1e-9) if n else np.zeros(0)
-    for _ in range(ROUNDS if n else 0):
-        w, _, b = fit_linear(x, none, target, mass, priors[-1])
-        toxic = _sigmoid(x.times(w) + b) > 0.5
-        # a toxic verdict that another segment explains says nothing about this one
-        others = np.bincount(owner, toxic[piece].astype(float), len(docs))[owner] - toxic[piece]
-        idle = (others > 0) & ~toxic[piece]
-        mass = np.bincount(piece, np.where(idle, 1 - verdict, 1.0), n)
-        target = np.bincount(piece, np.where(idle, 0.0, verdict), n) / np.maximum(mass, 1e-9)
-    fold = np.array([hash_fold(k, folds) for k in numbers], np.int64)
+
+    def prepare(k: int) -> _Prepared:
+        known = {index[f] for f in chosen[k]}
+        x = Rows([[c for c in columns if c in known] for _, columns in numbers], len(index))
+        used = (fold_of[owner] != k).astype(float)
+        mass = np.bincount(piece, used, n)
+        target = np.bincount(piece, verdict * used, n) / np.maximum(mass, 1e-9)
+        for _ in range(ROUNDS):
+            w, _, b = fit_linear(x, none, target, mass, priors[-1])
+            toxic = _sigmoid(x.times(w) + b) > 0.5
+            # a toxic verdict that another segment explains says nothing about this one
+            others = np.bincount(owner, toxic[piece].astype(float), len(docs))[owner] - toxic[piece]
+            idle = (others > 0) & ~toxic[piece]
+            mass = np.bincount(piece, np.where(idle, 1 - verdict, 1.0) * used, n)
+            target = np.bincount(piece, np.where(idle, 0.0, verdict) * used, n) / np.maximum(mass, 1e-9)
+        return _Prepared(known, x, mass, target, category_shares(x, mass * target, hits, seed_columns))
+
     weights = np.zeros((len(index), len(CATEGORIES)))
     links, bias = np.zeros((len(CATEGORIES), len(CATEGORIES))), np.full(len(CATEGORIES), BIAS)
+    if not n:
+        for c in range(len(CATEGORIES)):
+            weights[:, c] = priors[c]
+        return Chain(index, weights, links, bias, 0.5)
+    ready = [prepare(k) for k in range(folds + 1)]
     oof = np.zeros((n, len(CATEGORIES)))
     for c, name in enumerate(CATEGORIES):
-        weights[:, c] = priors[c]
-        if not n:
-            continue
-        y = target if name == "toxic" else target * hits[:, c]
         earlier = oof[:, :c].copy()
-        for k in range(folds):
-            w, v, b = fit_linear(x, earlier, y, mass * (fold != k), priors[c])
-            mine = fold == k
-            oof[mine, c] = _sigmoid(x.times(w) + earlier @ v + b)[mine]
-        weights[:, c], links[c, :c], bias[c] = fit_linear(x, earlier, y, mass, priors[c])
-    threshold = 0.5
-    if n:
-        worst = np.zeros(len(docs))
-        np.maximum.at(worst, owner, oof[piece, -1])
-        threshold = best_threshold(worst, label)
-    return Chain(index, weights, links, bias, threshold)
-
-
-def hash_fold(columns: tuple[int, ...], folds: int) -> int:
-    return zlib.crc32(repr(columns).encode()) % folds
+        for k, part in enumerate(ready):
+            y = part.target if name == "toxic" else part.target * part.shares[:, c]
+            w, v, b = fit_linear(part.x, earlier, y, part.mass, priors[c])
+            if k < folds:
+                mine = fold == k
+                oof[mine, c] = _sigmoid(part.x.times(w) + earlier @ v + b)[mine]
+            else:
+                weights[:, c], links[c, :c], bias[c] = w, v, b
+    worst = np.zeros(len(docs))
+    np.maximum.at(worst, owner, oof[piece, -1])
+    if held_out is not None:
+        held_out += worst.tolist()
+    return Chain(index, weights, links, bias, best_threshold(worst, label))
 
 
 def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
@@ -388,18 +459,21 @@ def score_documents(documents: DataFrame, chain: Chain, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cutter = shared.value, Segmenter()
+        openings, idle = model.openings(), model.score_columns([[]])[0]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 lists, owner = [], []
+                worst = np.zeros((part.num_rows, len(CATEGORIES)))
                 for i, t in enumerate(part.column(1).to_pylist()):
                     own = cutter.segments(t) if t else []
-                    lists += own
-                    owner += [i] * len(own)
-                worst = np.zeros((part.num_rows, len(CATEGORIES)))
+                    if own:
+                        worst[i] = idle  # what a segment without known features scores
+                    telling = [x for tokens in own if (x := known_columns(tokens, openings))]
+                    lists += telling
+                    owner += [i] * len(telling)
                 if lists:
-                    p = model.score_segments(lists)
-                    np.maximum.at(worst, np.array(owner), p)
+                    np.maximum.at(worst, np.array(owner), model.score_columns(lists))
                 cols = [pa.array(np.round(worst[:, c], 6)) for c in (4, 0, 1, 2, 3)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.array(worst[:, 4] >= model.threshold)], names=names)
 

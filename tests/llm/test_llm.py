@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("spanlight.llm")
@@ -130,20 +131,54 @@ def sample(rng, n):
     return texts, labels
 
 
+def scores(chain, segments):
+    opening = chain.openings()
+    return chain.score_columns([toxicity.known_columns(tokens, opening) for tokens in segments])
+
+
+def test_known_columns_are_the_known_features():
+    rng = random.Random(3)
+    words = ["a", "b", "c", "d"]
+    names = sorted({f for _ in range(12) for f in toxicity.features([rng.choice(words) for _ in range(3)])})
+    chain = toxicity.Chain({f: i for i, f in enumerate(names)}, np.zeros((len(names), 5)), np.zeros((5, 5)), np.zeros(5), 0.5)
+    for _ in range(200):
+        tokens = [rng.choice([*words, "z"]) for _ in range(rng.randrange(0, 7))]
+        assert sorted(toxicity.known_columns(tokens, chain.openings())) == sorted(chain.index[f] for f in toxicity.features(tokens) if f in chain.index)
+
+
+def test_categories_spread_beyond_the_seed_words():
+    """Toxic segments without any seed word get the category of those that share their other words."""
+    hits = np.zeros((6, 2), bool)
+    hits[0, 0] = hits[1, 1] = True
+    x = toxicity.Rows([[0, 2], [1, 3], [2, 4], [3, 5], [4], []], 6)
+    share = toxicity.category_shares(x, np.ones(6), hits, np.array([0, 1]))
+    assert share[2, 0] > 0.6 and share[3, 1] > 0.6 and share[4, 0] > 0.5 and np.allclose(share[5], 0.5)
+
+
+def test_held_out_scores_do_not_need_the_seed_words():
+    texts, labels = sample(random.Random(2), 800)
+    for weight in (toxicity.SEED_WEIGHT, 0.0):
+        held: list[float] = []
+        chain = toxicity.train(texts, labels, seed_weight=weight, held_out=held)
+        truth = np.array([any(i in t for i in INSULTS) for t in texts])
+        got = np.array(held) >= chain.threshold
+        assert (got & truth).sum() / truth.sum() >= 0.9 and (got & truth).sum() / got.sum() >= 0.9
+
+
 def test_chain_learns_from_noisy_document_labels():
     chain = toxicity.train(*sample(random.Random(1), 600))
     cut = toxicity.Segmenter()
     for text in CLEAN:
-        assert chain.score_segments(cut.segments(text))[:, 4].max() < chain.threshold, text
+        assert scores(chain, cut.segments(text))[:, 4].max() < chain.threshold, text
     for text in [*INSULTS, "you are a complete 1d10t", "you are a complete i d i o t", "ѕhut up you fіlthy раrаѕіte", "shut up you filthyyy para​site", "GET http://x.test/?q=you+are+a+complete+idiot"]:
-        assert chain.score_segments(cut.segments("the backup ran at night.\n" + text))[:, 4].max() >= chain.threshold, text
+        assert scores(chain, cut.segments("the backup ran at night.\n" + text))[:, 4].max() >= chain.threshold, text
 
 
 def test_untrained_chain_uses_seed_words():
     chain = toxicity.train([], [])
     cut = toxicity.Segmenter()
-    assert chain.score_segments(cut.segments("you worthless moron, you idiot"))[:, 4].max() >= chain.threshold
-    assert chain.score_segments(cut.segments("the backup ran at night"))[:, 4].max() < chain.threshold
+    assert scores(chain, cut.segments("you worthless moron, you idiot"))[:, 4].max() >= chain.threshold
+    assert scores(chain, cut.segments("the backup ran at night"))[:, 4].max() < chain.threshold
 
 
 def test_scores_of_empty_texts_and_tables(spark):
@@ -176,5 +211,5 @@ def test_held_out_accuracy(spark):
     right = 0
     for i in rest:
         own = cut.segments(texts[i])
-        right += bool(own and chain.score_segments(own)[:, 4].max() >= chain.threshold) == (labels[i] > 0.5)
+        right += bool(own and scores(chain, own)[:, 4].max() >= chain.threshold) == (labels[i] > 0.5)
     assert right / len(rest) >= 0.8
