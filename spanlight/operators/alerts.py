@@ -18,7 +18,7 @@ from spanlight.operators import scan
 from spanlight.rules.match import java_regex
 from spanlight.session import materialise, ship_package
 
-MAX_SILENCES = 10_000
+SILENCES_AT_ONCE = 200
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  # fixed values: the 64-bit FNV-1a hash
 
 
@@ -50,17 +50,22 @@ def all_match(matchers: list[Matcher]) -> Column:
     return reduce(lambda a, b: a & b, [m.column() for m in matchers], F.lit(True))
 
 
-def in_scope(alerts: DataFrame, rules: list[str] = (), tags: list[str] = (), levels: list[str] = ()) -> DataFrame:
-    """Alerts of the given rules (ids or titles, with ``*``), tag prefixes and levels; an empty list is no limit."""
+def scope_column(rules: list[str] = (), tags: list[str] = (), levels: list[str] = ()) -> Column:
+    """Whether an alert is of the given rules (ids or titles, with ``*``), tag prefixes and levels; an empty list is no limit."""
     tests = []
     if rules:
         patterns = "|".join(re.escape(r).replace(r"\*", ".*") for r in rules)
         tests.append(F.coalesce(F.col("rule_id").rlike(rf"^(?:{patterns})\z"), F.lit(False)) | F.coalesce(F.col("rule_title").rlike(rf"^(?:{patterns})\z"), F.lit(False)))
     if tags:
-        tests.append(F.exists("tags", lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in tags])))
+        tests.append(F.coalesce(F.exists("tags", lambda t: reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in tags])), F.lit(False)))
     if levels:
         tests.append(F.coalesce(F.lower("level").isin([x.lower() for x in levels]), F.lit(False)))
-    return alerts.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def in_scope(alerts: DataFrame, rules: list[str] = (), tags: list[str] = (), levels: list[str] = ()) -> DataFrame:
+    """The alerts in scope (:func:`scope_column`)."""
+    return alerts.where(scope_column(rules, tags, levels))
 
 
 def inhibit(alerts: DataFrame, source: list[Matcher], target: list[Matcher], equal: list[str], duration_s: int) -> DataFrame:
@@ -83,11 +88,14 @@ def inhibit(alerts: DataFrame, source: list[Matcher], target: list[Matcher], equ
 
 
 def silence(alerts: DataFrame, silences: list[tuple[list[Matcher], int, int]]) -> DataFrame:
-    """Drop alerts for which a silence is active: all its matchers match and ``start <= ts < end``."""
-    if len(silences) > MAX_SILENCES:
-        raise ValueError(f"more than {MAX_SILENCES} silences")
+    """Drop alerts for which a silence is active: all its matchers match and ``start <= ts < end``.
+
+    Silences are tested in groups, one filter each, however many there are.
+    """
     active = [all_match(m) & (F.col("ts") >= start) & (F.col("ts") < end) for m, start, end in silences]
-    return alerts.where(~F.coalesce(reduce(lambda a, b: a | b, active, F.lit(False)), F.lit(False)))
+    for i in range(0, len(active), SILENCES_AT_ONCE):
+        alerts = alerts.where(~F.coalesce(reduce(lambda a, b: a | b, active[i : i + SILENCES_AT_ONCE]), F.lit(False)))
+    return alerts
 
 
 def fnv1a(*texts: Column) -> Column:

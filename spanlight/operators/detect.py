@@ -118,7 +118,7 @@ def detect(
     cut = F.split("__match", inside)
     described = json_text.dumps([{"title": c.rule.title, "id": c.rule.id, "level": c.rule.level, "tags": [*c.rule.tags]} for c in compiled])
     of_rule = F.from_json(F.lit(described), "array<struct<title:string,id:string,level:string,tags:array<string>>>")
-    number = F.element_at(cut, 1).cast("int")
+    number = F.element_at(cut, 1).try_cast("int")
     rule = F.element_at(of_rule, number + 1)
     details = F.array().cast(_ROW)
     if detail:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlight.operators.detect import rule_fields
@@ -170,3 +170,10 @@ def field_coverage(counts: DataFrame, collection: Collection) -> DataFrame:
     both = counts.join(F.broadcast(rules), "field", "full")
     status = F.when(F.col("n").isNull(), "missing").when(F.col("ruled").isNull(), "unknown").otherwise("covered")
     return both.select("field", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
+
+
+def field_report(counts: DataFrame) -> DataFrame:
+    """``place, field, n``: the fields in the order of a report, most frequent first, then by name.
+
+    The fields of all events are few (they are counted already), so one task orders them."""
+    return counts.select(F.row_number().over(Window.orderBy(F.desc("n"), "field")).alias("place"), "field", "n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlight.rules.fields import Resolver, number_of, text_of
-from spanlight.rules.match import in_network, java_quote, java_regex
+from spanlight.rules.match import hex_address, in_network, java_quote, java_regex
 from spanlight.rules.stix_pattern import Node, PatternError, parse
 from spanlight.session import materialise
 
@@ -46,15 +47,7 @@ def _compare(v: Column, kind: T.DataType, op: str, value) -> Column:
     if op == "ISSUBSET":
         return in_network(F.substring_index(text, "/", 1), str(value))
     if op == "ISSUPERSET":
-        # the row's network contains the constant's: same version, shorter prefix, equal leading bits (IPv4)
-        import ipaddress
-
-        net = ipaddress.ip_network(str(value), strict=False)
-        octets = F.split(F.substring_index(text, "/", 1), r"\.")
-        bits = F.when(F.instr(text, "/") > 0, F.substring_index(text, "/", -1).try_cast("int")).otherwise(32)
-        number = reduce(lambda a, b: a * 256 + b, [F.try_element_at(octets, F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)])
-        size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("bigint")
-        return (bits <= net.prefixlen) & (F.floor(number / size) == F.floor(F.lit(int(net.network_address)) / size)) if net.version == 4 else F.lit(False)
+        return _contains_network(text, str(value))
     if isinstance(value, tuple):
         if value[0] == "timestamp":
             left, right = v.try_cast("timestamp") if isinstance(kind, T.StringType) else v.cast("timestamp"), F.lit(value[1]).cast("timestamp")
@@ -71,12 +64,24 @@ def _compare(v: Column, kind: T.DataType, op: str, value) -> Column:
     return {"=": left == right, "!=": left != right, "<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[op]
 
 
+def _contains_network(text: Column, network: str) -> Column:
+    """Whether the row's address or network contains the constant one: same version, no longer prefix, equal leading bits."""
+    net = ipaddress.ip_network(network, strict=False)
+    digits = net.max_prefixlen // 4
+    own, other = hex_address(F.substring_index(text, "/", 1), net.version), F.lit(f"{int(net.network_address):0{digits}x}")
+    bits = F.when(F.instr(text, "/") > 0, F.substring_index(text, "/", -1).try_cast("int")).otherwise(net.max_prefixlen)
+    whole, rest = F.floor(bits / 4).cast("int"), bits % 4
+    nibble = lambda h: F.call_function("shiftright", F.conv(F.substring(h, whole + 1, F.lit(1)), 16, 10).cast("int"), F.lit(4) - rest)
+    same = (F.substring(own, F.lit(1), whole) == F.substring(other, F.lit(1), whole)) & ((rest == 0) | (nibble(own) == nibble(other)))
+    return F.coalesce(bits.between(0, net.prefixlen) & same, F.lit(False))
+
+
 def evaluate(observations: DataFrame, pattern: str, keys: list[str], time: str, seq: str, mapping: dict | None = None, json: set[str] = frozenset()) -> DataFrame:
     """The matches of a pattern per key group (a source, a host): ``keys, start_us, end_us``, one row per tightest
     witness, ending at each observation that completes one.
 
     AND needs distinct observations in any order (spans of its parts may overlap), FOLLOWEDBY an order of times (equal times count as ordered);
-    WITHIN bounds a witness's length, REPEATS asks for n distinct matches, START/STOP bounds the times. No
+    WITHIN bounds a witness's length, REPEATS asks for n matches that share no observation, START/STOP bounds the times. No
     observation is joined to others: each operator is a running maximum, or a look n rows back, per key. A part that is
     a span itself stands with its tightest witnesses only.
     """
@@ -87,28 +92,33 @@ def evaluate(observations: DataFrame, pattern: str, keys: list[str], time: str,
     return out.select(*keys, F.col("__s").alias("start_us"), F.col("__e").alias("end_us")).distinct()
 
 
-def _matches(node: Node, rows: DataFrame, resolver: Resolver, keys: list[str]) -> DataFrame:
-    """Bindings ``keys, __s, __e, __seq, __w`` (``__seq`` null once several observations take part, ``__w`` all of them)."""
+def _matches(node: Node, rows: DataFrame, resolver: Resolver, keys: list[str], keep: int = 1) -> DataFrame:
+    """Bindings ``keys, __s, __e, __seq, __w`` (``__seq`` null once several observations take part, ``__w`` all of them).
+
+    ``keep`` is how many matches of a sequence's beginning each end is paired with: REPEATS needs as many as it counts."""
     if node.kind == "obs":
         return rows.where(comparison(node.parts[0], resolver)).select(*keys, F.col("__t").alias("__s"), F.col("__t").alias("__e"), F.col("__seq").cast("string").alias("__seq"), F.array(F.col("__seq").cast("string")).alias("__w"))
     if node.kind == "or":
-        return reduce(DataFrame.unionByName, [_matches(p, rows, resolver, keys) for p in node.parts]).distinct()
+        return reduce(DataFrame.unionByName, [_matches(p, rows, resolver, keys, keep) for p in node.parts]).distinct()
     if node.kind == "startstop":
         start, stop = (int(dt.datetime.fromisoformat(x.replace("Z", "+00:00")).timestamp() * 1e6) for x in node.value)
-        return _matches(node.parts[0], rows, resolver, keys).where((F.col("__s") >= start) & (F.col("__e") < stop))
+        return _matches(node.parts[0], rows, resolver, keys, keep).where((F.col("__s") >= start) & (F.col("__e") < stop))
     if node.kind == "within":
-        return _matches(node.parts[0], rows, resolver, keys).where(F.col("__e") - F.col("__s") <= int(node.value * 1_000_000))
+        return _matches(node.parts[0], rows, resolver, keys, keep).where(F.col("__e") - F.col("__s") <= int(node.value * 1_000_000))
     if node.kind == "repeats":
-        inner = _matches(node.parts[0], rows, resolver, keys)
+        inner = _matches(node.parts[0], rows, resolver, keys, keep * node.value)
+        if _taking_part(node.parts[0]) > 1 and node.value > 1:  # matches of several observations must not share any
+            return _together([inner] * node.value, keys, _taking_part(node))
         w = Window.partitionBy(*keys).orderBy("__e", "__s", "__seq")
         back = F.lag("__s", node.value - 1).over(w)
         all_of = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__w").over(w.rowsBetween(1 - node.value, 0)))))
         return inner.withColumns({"__first": back, "__w": all_of}).where(F.col("__first").isNotNull()).select(*keys, F.col("__first").alias("__s"), "__e", F.lit(None).cast("string").alias("__seq"), "__w")
     if node.kind == "followedby":
-        return reduce(lambda a, b: _followed(a, b, keys), [_matches(p, rows, resolver, keys) for p in node.parts])
+        step = (lambda a, b: _followed(a, b, keys)) if keep == 1 else (lambda a, b: _followed_by_several(a, b, keys, keep))
+        return reduce(step, [_matches(p, rows, resolver, keys, keep) for p in node.parts])
     if node.kind == "and":
         parts = _conjuncts(node)
-        return _together([_matches(p, rows, resolver, keys) for p in parts], keys, sum(map(_taking_part, parts)))
+        return _together([_matches(p, rows, resolver, keys, keep) for p in parts], keys, sum(map(_taking_part, parts)))
     raise PatternError(node.kind)
 
 
@@ -147,6 +157,19 @@ def _followed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, F.col("__start.s").alias("__s"), F.col("__re").alias("__e"), F.lit(None).cast("string").alias("__seq"), F.array_sort(F.array_distinct(F.concat("__start.w", "__w"))).alias("__w"))
 
 
+def _followed_by_several(left: DataFrame, right: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """For each right match the ``keep`` last left ones that end no later than it starts and share no observation with it."""
+    side = F.struct("__s", "__e", "__w")
+    line = left.select(*keys, F.col("__e").alias("__t"), F.lit(0).alias("__side"), side.alias("__l"), side.alias("__r")).unionByName(
+        right.select(*keys, F.col("__s").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(left.select(side.alias("x")).schema["x"].dataType).alias("__l"), side.alias("__r"))
+    )
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY __t, __side, __r)"
+    # as many more as can share an observation with the right match
+    back = F.array(*[F.expr(f"lag(__l, {k}) IGNORE NULLS {over}") for k in range(1, 2 * keep + 1)])
+    pairs = line.withColumn("__back", back).where("__side = 1").select(*keys, "__r", F.explode(F.slice(F.filter("__back", lambda x: x.isNotNull() & ~F.arrays_overlap(x["__w"], F.col("__r.__w"))), 1, keep)).alias("__l"))
+    return pairs.select(*keys, F.col("__l.__s").alias("__s"), F.col("__r.__e").alias("__e"), F.lit(None).cast("string").alias("__seq"), F.array_sort(F.array_distinct(F.concat("__l.__w", "__r.__w"))).alias("__w")).distinct()
+
+
 def _together(parts: list[DataFrame], keys: list[str], most: int) -> DataFrame:
     """For each match of a part, as the one that ends last, the latest matches of all other parts that end no later and
     share no observation with it or each other.

@@ -17,7 +17,7 @@ MAX_FIELDS = 200
 
 def explain(events: DataFrame, rule: Rule, keep: list[str], json: set[str] = frozenset()) -> DataFrame:
     """Every selection and item of a rule as a boolean column, none skipped, and ``matched``."""
-    resolver, leaves = Resolver(events.schema, set(json)), string_leaves(events.schema)
+    resolver, leaves = Resolver(events.schema, set(json)), string_leaves(events.schema, set(json))
     used = set().union(*[condition_names(t, list(rule.detection)) for t in rule.conditions])
     selections = {n: compile_detection(b, resolver, leaves) for n, b in rule.detection.items() if n in used}
     parts = {}

@@ -160,7 +160,7 @@ def compile_collection(collection: Collection, schema: T.StructType, json: set[s
     """All usable rules; those that cannot be compiled go to the collection's errors."""
     resolver = Resolver(schema, set(json), mapping or {})
     resolver = extend(resolver) if extend else resolver
-    leaves = string_leaves(schema)
+    leaves = string_leaves(schema, set(json))
     out = []
     for rule in collection.rules:
         try:

@@ -131,21 +131,37 @@ def number_of(value: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+NO_TEXTS = "array<string>"
+
+
+def json_texts(text: Column) -> Column:
+    """All text values (not keys, not numbers) of a JSON text, at any depth; none if it is no object or array."""
+    quoted = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'), F.lit(0))
+    values = F.filter(quoted, lambda x: ~F.endswith(x, F.lit(":")))
+    return F.when(text.rlike(r"^\s*[\[{]"), F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), NO_TEXTS))
+
+
 def string_leaves(schema: T.StructType, json: set[str] = frozenset()) -> Column:
-    """All text values of a row: string columns, strings in arrays and structs, not numbers."""
-    parts: list[Column] = []
+    """All text values of a row: text columns, texts in arrays, structs and maps at any depth, and in VARIANT columns and
+    the columns of JSON text named in ``json``; not numbers, not names."""
 
-    def walk(column: Column, kind: T.DataType) -> None:
+    def texts(column: Column, kind: T.DataType, is_json: bool) -> Column | None:
         if isinstance(kind, T.StringType):
-            parts.append(F.array(column))
-        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-            parts.append(F.coalesce(column, F.array().cast("array<string>")))
-        elif isinstance(kind, T.StructType):
-            for f in kind.fields:
-                walk(column.getField(f.name), f.dataType)
-        elif isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-            parts.append(F.coalesce(F.map_values(column), F.array().cast("array<string>")))
-
-    for f in schema.fields:
-        walk(F.col(f"`{f.name}`"), f.dataType)
-    return F.filter(F.concat(*parts), lambda x: x.isNotNull()) if parts else F.array().cast("array<string>")
+            return F.coalesce(json_texts(column), F.array(column)) if is_json else F.array(column)
+        if isinstance(kind, T.VariantType):
+            return json_texts(F.to_json(column))
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StringType):
+                return column
+            if texts(F.lit(None), kind.elementType, False) is None:
+                return None
+            return F.flatten(F.transform(column, lambda x: F.coalesce(texts(x, kind.elementType, False), F.array().cast(NO_TEXTS))))
+        if isinstance(kind, T.StructType):
+            own = [t for f in kind.fields if (t := texts(column.getField(f.name), f.dataType, False)) is not None]
+            return F.concat(*[F.coalesce(t, F.array().cast(NO_TEXTS)) for t in own]) if own else None
+        if isinstance(kind, T.MapType):
+            return texts(F.map_values(column), T.ArrayType(kind.valueType), False)
+        return None
+
+    parts = [F.coalesce(t, F.array().cast(NO_TEXTS)) for f in schema.fields if (t := texts(F.col(f"`{f.name}`"), f.dataType, f.name in json)) is not None]
+    return F.filter(F.concat(*parts), lambda x: x.isNotNull()) if parts else F.array().cast(NO_TEXTS)

@@ -114,17 +114,31 @@ def in_network(text: Column, network: str) -> Column:
         well = text.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\z")
         number = reduce(lambda a, b: a * 256 + b, [F.try_element_at(octets, F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)])
         return F.when(well, number.between(int(net.network_address), int(net.broadcast_address))).otherwise(False)
+    hexed = hex_address(text, 6)
+    first, last = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
+    return F.coalesce(hexed.between(first, last), F.lit(False))
+
+
+def hex_address(text: Column, version: int) -> Column:
+    """An address as 8 or 32 hex digits; null if the text is no address of that version. The last two groups of an IPv6
+    address may be written as an IPv4 address."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    four = rf"{octet}(?:\.{octet}){{3}}"
+    pair = lambda t: F.array_join(F.transform(F.split(t, r"\."), lambda x: F.lpad(F.lower(F.hex(x.try_cast("bigint"))), 2, "0")), "")
+    if version == 4:
+        return F.when(text.rlike(rf"^{four}\z"), pair(text))
     low = F.lower(text)
-    head = F.split(F.substring_index(low, "::", 1), ":")
-    tail = F.when(F.instr(low, "::") > 0, F.split(F.substring_index(low, "::", -1), ":")).otherwise(F.array().cast("array<string>"))
+    embedded = F.nullif(F.regexp_extract(low, rf":({four})\z", 1), F.lit(""))
+    written = F.when(embedded.isNotNull(), F.concat(F.regexp_replace(low, r"[^:]*\z", ""), F.substring(pair(embedded), 1, 4), F.lit(":"), F.substring(pair(embedded), 5, 4))).otherwise(low)
+    short = F.instr(written, "::") > 0
     clean = lambda a: F.filter(a, lambda x: x != "")
-    head, tail = clean(head), clean(tail)
+    head = clean(F.split(F.substring_index(written, "::", 1), ":"))
+    tail = clean(F.when(short, F.split(F.substring_index(written, "::", -1), ":")).otherwise(F.array().cast("array<string>")))
     zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0)))
-    groups = F.when(F.instr(low, "::") > 0, F.concat(head, zeros, tail)).otherwise(head)
+    groups = F.when(short, F.concat(head, zeros, tail)).otherwise(head)
     hexed = F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), "")
-    well = low.rlike(r"^[0-9a-f:]{2,39}\z") & (F.length(hexed) == 32) & F.contains(low, F.lit(":"))
-    first, last = f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}"
-    return F.when(well, hexed.between(first, last)).otherwise(False)
+    well = written.rlike(r"^(?:[0-9a-f]{0,4}:){1,8}[0-9a-f]{0,4}\z") & ~written.rlike(r":::|::.*::|^:[^:]|[^:]:\z") & (F.size(groups) == 8) & (F.length(hexed) == 32)
+    return F.when(well, hexed)
 
 
 # -- matching ---------------------------------------------------------------------------------------------
@@ -165,12 +179,38 @@ def _text_match(op: str, value: str, cased: bool):
 
 
 def java_regex(pattern: str, modifiers: list[str]) -> str:
-    """The pattern in Java's dialect: Unicode case folding, ``.`` stops at line feeds only, ``$`` is the very end."""
-    flags = "d" + ("iu" if {"i", "ignorecase"} & set(modifiers) or "(?i)" in pattern else "") + ("m" if {"m", "multiline"} & set(modifiers) else "") + ("s" if {"s", "dotall"} & set(modifiers) else "")
-    body = pattern.replace("(?i)", "")
-    if "m" not in flags:
-        body = re.sub(r"(?<!\\)\$(?=\)|\||\Z)", r"\\z", body)
-    return f"(?{flags}){body}"
+    """The pattern in Java's dialect: Unicode case folding and classes, ``.`` stops at line feeds only, ``$`` is the very end.
+
+    Flags in the pattern hold from where they stand, as they are written; only their case folding is made Unicode's.
+    """
+    lines = bool({"m", "multiline"} & set(modifiers)) or re.search(r"\(\?[a-zA-Z]*m", pattern) is not None
+    out, i, in_class, unicode_class = [], 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            unicode_class = unicode_class or pattern[i + 1] in "dDwWsSbB"
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        if in_class:
+            in_class += (c == "[") - (c == "]")
+        elif c == "[":
+            in_class = 1
+            following = re.match(r"\[\^?\]?", pattern[i:])[0]  # a bracket that comes first is itself
+            out.append(following.replace("]", "\\]"))
+            i += len(following)
+            continue
+        elif c == "$" and not lines:
+            c = r"\z"
+        elif flags := re.match(r"\(\?([a-zA-Z]*)(-[a-zA-Z]+)?([:)])", pattern[i:]):
+            on = flags[1].replace("i", "iu") if "u" not in flags[1] else flags[1]
+            out.append(f"(?{on}{flags[2] or ''}{flags[3]}")
+            i += len(flags[0])
+            continue
+        out.append(c)
+        i += 1
+    flags = "d" + ("iu" if {"i", "ignorecase"} & set(modifiers) else "") + ("m" if {"m", "multiline"} & set(modifiers) else "") + ("s" if {"s", "dotall"} & set(modifiers) else "") + ("U" if unicode_class else "")
+    return f"(?{flags})" + "".join(out)
 
 
 def _timestamp(value: Column, kind: T.DataType) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable
+import json
+import re
+import socket
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # fixed values: severity numbers of the finding class
@@ -39,18 +43,20 @@ def finding(results: DataFrame, time: str = "ts", product: str = "spanlight") ->
     ))
 
 
-def deliver(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], dead_letters: str, retries: int = 3) -> dict[str, str]:
-    """Hand one batch to each sink, again up to ``retries`` times; what a sink cannot take goes to ``dead_letters``."""
+def deliver(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], dead_letters: str, retries: int = 3, backoff_s: float = 0.1, pause: Callable[[float], None] = time.sleep) -> dict[str, str]:
+    """Hand one batch to each sink, again up to ``retries`` times, waiting twice as long each time; what a sink cannot take
+    goes to ``dead_letters``."""
     said = {}
     for name, sink in sinks.items():
         problem = None
-        for _ in range(retries + 1):
+        for attempt in range(retries + 1):
             try:
                 sink(batch)
                 problem = None
                 break
             except Exception as error:  # noqa: BLE001 - a sink's failure is handled here
                 problem = error
+                pause(min(backoff_s * 2**attempt, 30.0))
         if problem is None:
             said[name] = "delivered"
         else:
@@ -62,3 +68,66 @@ def deliver(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], dea
 def signature(secret: bytes, body: bytes) -> str:
     """The HMAC-SHA256 signature of a delivery."""
     return "sha256=" + hmac.new(secret, body, hashlib.sha256).hexdigest()
+
+
+def otlp_record(results: DataFrame, time: str = "ts", scope: str = "spanlight") -> Column:
+    """Each result as an OTLP/JSON request of one log record: level as severity, title as body, the rest as attributes."""
+    number = {"informational": 9, "low": 10, "medium": 13, "high": 17, "critical": 21}  # fixed values: severity numbers
+    severity = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in number.items() for x in p]), F.lower("level")), F.lit(9))
+    text = lambda c: F.struct(c.cast("string").alias("stringValue"))
+    others = [c for c, t in results.dtypes if c not in (time, "level", "rule_title") and not t.startswith(("array", "struct", "map"))]
+    attributes = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), text(F.col(c)).alias("value")) for c in others]), lambda a: a.value.stringValue.isNotNull())
+    record = F.struct(
+        F.concat(F.col(time).cast("long").cast("string"), F.lit("000000000")).alias("timeUnixNano"), severity.alias("severityNumber"),
+        F.upper("level").alias("severityText"), text(F.col("rule_title")).alias("body"), attributes.alias("attributes"),
+    )
+    own = F.array(F.struct(F.lit("service.name").alias("key"), text(F.lit(scope)).alias("value")))
+    return F.to_json(F.struct(F.array(F.struct(F.struct(own.alias("attributes")).alias("resource"), F.array(F.struct(F.struct(F.lit(scope).alias("name")).alias("scope"), F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+
+
+def webhook(send: Callable[[bytes, dict[str, str]], None], body: str, secret: bytes | None = None, a_second: float = 0.0) -> Callable[[DataFrame], None]:
+    """A sink that posts each row: ``body`` is a template of ``${column}``s, whose values are put in as JSON text; with a
+    secret the delivery is signed. ``send`` (body, headers) makes the call, on the executors; ``a_second`` limits each task."""
+    def post(rows: Iterator[Row]) -> None:
+        for row in rows:
+            own = row.asDict()
+            text = re.sub(r"\$\{(\w+)\}", lambda m: json.dumps(own.get(m[1]), default=str)[1:-1] if isinstance(own.get(m[1]), str) else json.dumps(own.get(m[1]), default=str), body).encode()
+            headers = {"Content-Type": "application/json"} | ({"X-Signature": signature(secret, text)} if secret else {})
+            send(text, headers)
+            if a_second:
+                time.sleep(1 / a_second)
+
+    return lambda batch: batch.foreachPartition(post)
+
+
+def unix_socket(path: str) -> Callable[[DataFrame], None]:
+    """A sink that writes each row as a JSON line to a Unix socket (of the executor's machine)."""
+    def write(rows: Iterator[Row]) -> None:
+        link = None
+        for row in rows:
+            if link is None:
+                link = socket.socket(socket.AF_UNIX, socket.SOCK_STREAM)
+                link.connect(path)
+            link.sendall(row[0].encode() + b"\n")
+        if link is not None:
+            link.close()
+
+    return lambda batch: batch.select(F.to_json(F.struct("*"))).foreachPartition(write)
+
+
+def topic(servers: str, name: str, key: str | None = None) -> Callable[[DataFrame], None]:
+    """A sink that sends each row as JSON to a broker's topic. Needs Spark's connector on the class path."""
+    def write(batch: DataFrame) -> None:
+        columns = [F.to_json(F.struct("*")).alias("value")] + ([F.col(key).cast("string").alias("key")] if key else [])
+        batch.select(*columns).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", name).save()
+
+    return write
+
+
+def console(lines: Callable[[str], None] = print, at_most: int = 1000) -> Callable[[DataFrame], None]:
+    """A sink that prints rows as JSON lines, for looking at: up to ``at_most`` of a batch."""
+    def write(batch: DataFrame) -> None:
+        for row in batch.select(F.to_json(F.struct("*"))).limit(at_most).collect():
+            lines(row[0])
+
+    return write
