@@ -30,29 +30,28 @@ def covered_periods(df: DataFrame, keys: list[str], start: str, end: str, block_
         F.struct(F.col(start).cast("long").alias("t"), F.lit(1).alias("d")),
         F.struct(F.col(end).cast("long").alias("t"), F.lit(-1).alias("d")),
     ))
-    swept = (
-        rows.select(key.alias("g"), boundary.alias("e")).select("g", F.floor(F.col("e.t") / F.lit(block_width)).cast("long").alias("block"), "e.t", "e.d")
-        .groupBy("g", "block", "t").agg(F.sum("d").alias("net"))
-    )
-    in_block = Window.partitionBy("g", "block").orderBy("t")
+    # key and block in one struct, which is never null: a join on it adds no test that would tell its two sides apart
+    place = F.struct("g", F.floor(F.col("e.t") / F.lit(block_width)).cast("long").alias("block")).alias("gb")
+    swept = rows.select(key.alias("g"), boundary.alias("e")).select(place, "e.t", "e.d").groupBy("gb", "t").agg(F.sum("d").alias("net"))
+    in_block = Window.partitionBy("gb").orderBy("t")
     counted = swept.withColumn("prefix", F.sum("net").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
 
-    blocks = counted.groupBy("g", "block").agg(F.sum("net").alias("total"), F.min(F.struct("prefix", "t")).alias("least"), F.min("t").alias("first"))
-    along = Window.partitionBy("g").orderBy("block")
+    blocks = counted.groupBy("gb").agg(F.sum("net").alias("total"), F.min(F.struct("prefix", "t")).alias("least"), F.min("t").alias("first"))
+    along = Window.partitionBy("gb.g").orderBy("gb.block")
     blocks = blocks.withColumn("carry", F.coalesce(F.sum("total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # the count never falls below 0, so a block closes a period where its least prefix takes back all it began with
     closes_at = F.when(F.col("least.prefix") + F.col("carry") == 0, F.col("least.t"))
     blocks = blocks.select(
-        F.col("g").alias("bg"), F.col("block").alias("bb"), "carry",
+        F.col("gb").alias("of"), "carry",
         F.min(closes_at).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("next_close"),
         F.lead("first").over(along).alias("next_first"),
     )
-    joined = counted.join(blocks, (counted["g"] == blocks["bg"]) & (counted["block"] == blocks["bb"]), "inner")
+    joined = counted.join(blocks, counted["gb"] == blocks["of"], "inner")
     after = F.col("prefix") + F.col("carry")
-    edges = joined.select("g", "block", "t", "next_close", "next_first", (after - F.col("net") == 0).alias("opens"), (after == 0).alias("closes")).where("opens or closes")
+    edges = joined.select("gb", "t", "next_close", "next_first", (after - F.col("net") == 0).alias("opens"), (after == 0).alias("closes")).where("opens or closes")
     upto = F.coalesce(F.min(F.when(F.col("closes"), F.col("t"))).over(in_block.rowsBetween(0, Window.unboundedFollowing)), F.col("next_close"))
     beyond = F.coalesce(F.lead("t").over(in_block), F.col("next_first"))
-    spans = edges.select("g", "t", "opens", "closes", upto.alias("upto"), beyond.alias("beyond")).select("g", F.explode(F.array(
+    spans = edges.select("gb", "t", "opens", "closes", upto.alias("upto"), beyond.alias("beyond")).select("gb.g", F.explode(F.array(
         F.when(F.col("opens"), F.struct(F.lit("period").alias("kind"), F.col("t").alias("s"), F.col("upto").alias("e"))),
         F.when(F.col("closes"), F.struct(F.lit("gap").alias("kind"), F.col("t").alias("s"), F.col("beyond").alias("e"))),
     )).alias("x")).where(F.col("x.e").isNotNull())

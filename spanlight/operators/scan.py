@@ -23,18 +23,20 @@ def running_sums(df: DataFrame, keys: list[str], block: str, order: list[str], s
     ``keys`` name the group (nulls are a group of their own), ``block`` an integer column that does not
     decrease along ``order``; ``order`` must be unique within a group for a defined result. Nulls count as 0.
     """
-    # the keys as one struct: it is never null and nulls in it are equal, so the join keeps the windows' partitioning
+    # keys and block as one struct: it is never null and nulls in it are equal, so the join keeps the windows' partitioning
+    # and adds no test that would tell its two sides apart
     df_columns = df.columns
-    df = df.withColumn("__g", F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("__whole")))
-    inner = Window.partitionBy("__g", block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("__g").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("__g", block).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__tot_{r}") for r, c in sums.items()])
+    group = F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("__whole")).alias("g")
+    df = df.withColumn("__g", F.struct(group, F.col(block).alias("b")))
+    inner = Window.partitionBy("__g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("__g.g").orderBy("__g.b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("__g").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"__tot_{r}") for r, c in sums.items()])
     carry = totals.select(
-        F.col("__g").alias("__cg"), F.col(block).alias("__cb"),
+        F.col("__g").alias("__cg"),
         *[F.coalesce(F.sum(f"__tot_{r}").over(earlier), F.lit(0)).alias(f"__carry_{r}") for r in sums],
     )
     local = df.withColumns({f"__in_{r}": F.sum(F.coalesce(F.col(c), F.lit(0))).over(inner) for r, c in sums.items()})
-    joined = local.join(carry, (local["__g"] == carry["__cg"]) & (local[block] == carry["__cb"]), "inner")
+    joined = local.join(carry, local["__g"] == carry["__cg"], "inner")
     return joined.select(*[local[c] for c in df_columns], *[(F.col(f"__in_{r}") + F.col(f"__carry_{r}")).alias(r) for r in sums])
 
 
@@ -42,17 +44,21 @@ def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: in
     """Add ``name``: the number of the row's island in its group; a new one begins where the time since the row before
     exceeds ``gap`` (or reaches it, with ``inclusive``). ``time`` is a whole number that is not null.
 
-    The group is cut into blocks of ``width``; each block learns the last time of the blocks before it, so that a hot
-    group is spread over as many tasks as it has blocks.
+    The group is cut into blocks of ``width``, so that a hot group is spread over as many tasks as it has blocks. The rows
+    are shuffled once; between blocks only one row each travels: its first and last time and how many islands begin in it.
     """
-    columns = df.columns
-    cut = df.withColumns({"__block": F.floor(F.col(time) / max(gap, width)).cast("long"), "__g": F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("__whole"))})
-    before = Window.partitionBy("__g").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    last = cut.groupBy("__g", "__block").agg(F.max(time).alias("__max"))
-    last = last.select(F.col("__g").alias("__lg"), F.col("__block").alias("__lb"), F.max("__max").over(before).alias("__carried"))
-    joined = cut.join(last, (cut["__g"] == last["__lg"]) & (cut["__block"] == last["__lb"]), "inner").select(*[cut[c] for c in cut.columns], "__carried")
-    previous = F.coalesce(F.lag(time).over(Window.partitionBy("__g", "__block").orderBy(time, *order)), F.col("__carried"))
-    since = F.col(time) - previous
-    fresh = F.coalesce((since >= gap if inclusive else since > gap).cast("int"), F.lit(0))
-    numbered = running_sums(joined.withColumn("__fresh", fresh).drop("__g"), keys, "__block", [time, *order], {name: "__fresh"})
-    return numbered.select(*[F.col(f"`{c}`") for c in columns if c != name], name)
+    columns = [c for c in df.columns if c != name]
+    group = F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("__whole")).alias("g")
+    cut = df.withColumn("__g", F.struct(group, F.floor(F.col(time) / max(gap, width)).cast("long").alias("b")))
+    apart = lambda since: F.coalesce((since >= gap if inclusive else since > gap).cast("int"), F.lit(0))
+    inside = Window.partitionBy("__g").orderBy(time, *order)
+    fresh = cut.withColumn("__fresh", apart(F.col(time) - F.lag(time).over(inside)))
+    counted = fresh.withColumn("__in", F.sum("__fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+    along = Window.partitionBy("__g.g").orderBy("__g.b")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counted.groupBy("__g").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.sum("__fresh").alias("begun"))
+    blocks = blocks.withColumn("opens", apart(F.col("first") - F.max("last").over(earlier)))
+    blocks = blocks.select(F.col("__g").alias("__of"), (F.coalesce(F.sum(F.col("begun") + F.col("opens")).over(earlier), F.lit(0)) + F.col("opens")).alias("__carry"))
+    joined = counted.join(blocks, counted["__g"] == blocks["__of"], "inner")
+    return joined.select(*[counted[c] for c in columns], (F.col("__in") + F.col("__carry")).alias(name))
