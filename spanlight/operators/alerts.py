@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spanlight.operators import scan
 from spanlight.rules.match import java_regex
-from spanlight.session import materialise, ship_package
+from spanlight.session import discard, materialise, ship_package
 
 SILENCES_AT_ONCE = 200
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  # fixed values: the 64-bit FNV-1a hash
@@ -160,7 +160,7 @@ class EntityGraph:
     max_alerts: int | None = None
 
 
-def entity_incidents(alerts: DataFrame, graph: EntityGraph, rounds: int = 50) -> DataFrame:
+def entity_incidents(alerts: DataFrame, graph: EntityGraph) -> DataFrame:
     """``seq, incident``: alerts that share an entity value, directly or over others, are one incident; its name
     is its least ``seq``. Stop values, nulls and blanks join nothing, nor do a value's alerts beyond ``max_alerts``.
 
@@ -178,17 +178,16 @@ def entity_incidents(alerts: DataFrame, graph: EntityGraph, rounds: int = 50) ->
     values = values.select("seq", "value")
     sizes = values.groupBy("value").count().where(F.col("count") > 1).select("value")
     edges = materialise(values.join(sizes, "value", "left_semi"), "edges")
-    labels = materialise(alerts.select("seq", F.col("seq").alias("label")), "labels")
-    for _ in range(rounds):
+    labels = written = materialise(alerts.select("seq", F.col("seq").alias("label")), "labels")
+    while True:
         best = edges.join(labels, "seq").groupBy("value").agg(F.min("label").alias("low"))
         offer = edges.join(best, "value").groupBy("seq").agg(F.min("low").alias("low"))
         moved = labels.join(offer, "seq", "left").select("seq", F.col("label").alias("before"), F.least("label", F.coalesce("low", "label")).alias("label"))
         target = moved.select(F.col("seq").alias("label"), F.col("label").alias("jump"))
         after = materialise(moved.join(target, "label", "left").select("seq", "before", F.least("label", F.coalesce("jump", "label")).alias("label")), "labels")
-        changed = after.where("label <> before").limit(1).count()
-        labels = after.select("seq", "label")
-        if not changed:
+        discard(written)
+        written, labels = after, after.select("seq", "label")
+        if after.where("label <> before").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    discard(edges)
     return labels.select("seq", F.col("label").alias("incident"))

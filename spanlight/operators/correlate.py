@@ -217,25 +217,12 @@ def correlate(events: DataFrame, collection: Collection, correlation: Correlatio
 
 def suppress(fires: DataFrame, keys: list[str], mute: int) -> DataFrame:
     """Firings that are not within ``mute`` seconds of the last one let through; muted ones do not extend it."""
-    ship_package(fires.sparkSession)
-    schema = fires.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], ignore_index=True)
-        keep, last = [], None
-        for t in pdf["ts"]:
-            ok = last is None or t - last >= mute
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep]
-
-    # firings further apart than the mute time do not touch each other: islands are folded by themselves
-    islands = scan.islands(fires, keys, "ts", ["seq"], mute, "__i", inclusive=True)
-    return islands.groupBy(*keys, "__i").applyInPandas(lambda pdf: run(pdf.drop(columns="__i")), schema)
+    return scan.spaced(fires, keys, "ts", ["seq"], mute)
 
 
 def fold(rows: DataFrame, correlation: Correlation) -> DataFrame:
-    """The exact fold per group, in arrival order, for windows that are emptied after firing."""
+    """The exact fold, in arrival order, for windows that are emptied after firing. A group is split wherever a pause empties
+    its window anyway; an activity without such a pause is folded as a whole, as every step depends on the one before."""
     ship_package(rows.sparkSession)
     keys = _keys(correlation)
     kind, span, rules = correlation.type, correlation.timespan, correlation.rules
@@ -284,10 +271,10 @@ def fold(rows: DataFrame, correlation: Correlation) -> DataFrame:
                 last, state = t, []
         return pd.DataFrame(out, columns=[*pdf.columns, "value"])
 
-    if not keys:
-        rows = rows.withColumn("__all", F.lit(0))
-        return rows.groupBy("__all").applyInPandas(lambda pdf: run(pdf.drop(columns="__all")), schema)
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    # after a pause that empties the window and lets the mute time pass nothing of what came before counts
+    pause = max(span, mute, gap if window == "session" else 0)
+    split = scan.islands(rows, keys, "ts", ["seq", "rule"], pause, "__i")
+    return split.groupBy(*keys, "__i").applyInPandas(lambda pdf: run(pdf.drop(columns="__i")), schema)
 
 
 def chain(fired: list[tuple[str, DataFrame]], correlation: Correlation) -> DataFrame:

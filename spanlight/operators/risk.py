@@ -68,16 +68,4 @@ def risk_incidents(alerts: DataFrame, keys: list[str], window_s: int, score: flo
     fires = reached.withColumn("trigger", trigger).where(F.col("trigger").isNotNull())
     if not cooldown_s:
         return fires
-    ship_package(alerts.sparkSession)
-    islands = scan.islands(fires, keys, "ts", ["seq"], cooldown_s, "__i", inclusive=True)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], ignore_index=True)
-        keep, last = [], None
-        for t in pdf["ts"]:
-            ok = last is None or t - last >= cooldown_s
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep].drop(columns="__i")
-
-    return islands.groupBy(*keys, "__i").applyInPandas(run, fires.schema)
+    return scan.spaced(fires, keys, "ts", ["seq"], cooldown_s)

@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanlight.session import ship_package
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -62,3 +66,32 @@ def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: in
     blocks = blocks.select(F.col("__g").alias("__of"), (F.coalesce(F.sum(F.col("begun") + F.col("opens")).over(earlier), F.lit(0)) + F.col("opens")).alias("__carry"))
     joined = counted.join(blocks, counted["__g"] == blocks["__of"], "inner")
     return joined.select(*[counted[c] for c in columns], (F.col("__in") + F.col("__carry")).alias(name))
+
+
+def spaced(df: DataFrame, keys: list[str], time: str, order: list[str], least: int) -> DataFrame:
+    """The rows of each group that are at least ``least`` apart, taken greedily in order: the first, then the first that comes
+    ``least`` or more after the one taken last, and so on.
+
+    Of each moment only the first row (by ``order``) can be taken; moments further apart than ``least`` from the one before
+    begin anew, so that islands of moments are chosen from by themselves. What a task folds are moments (bounded by the
+    island's time span), not rows.
+    """
+    ship_package(df.sparkSession)
+    columns = df.columns
+    nth = F.row_number().over(Window.partitionBy(*keys, time).orderBy(*order))
+    firsts = df.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    moments = islands(firsts.select(*keys, time), keys, time, [], least, "__i", inclusive=True)
+    schema = T.StructType([*[moments.schema[k] for k in keys], moments.schema[time]])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time, ignore_index=True)
+        keep, last = [], None
+        for t in pdf[time]:
+            taken = last is None or t - last >= least
+            keep.append(taken)
+            last = t if taken else last
+        return pdf[keep][[*keys, time]]
+
+    chosen = moments.groupBy(*keys, "__i").applyInPandas(choose, schema).select(F.struct(*keys, time).alias("__taken"))
+    marked = firsts.withColumn("__at", F.struct(*keys, time))
+    return marked.join(chosen, marked["__at"] == chosen["__taken"], "left_semi").select(*columns)

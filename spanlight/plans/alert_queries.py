@@ -90,7 +90,12 @@ def _(spark, sf):
     return A.dedup(alerts(spark, sf), ["rule_title", "user_id"], DAY).drop("fingerprint")
 
 
-@_query("alert_fingerprint")
+_BYTES = "list_concat(list_transform(string_split(rule_title, ''), lambda c: ascii(c)), [0], list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda c: ascii(c)), [0])"
+
+
+@_query("alert_fingerprint", f"""WITH {SQL_ALERTS}, d AS (SELECT DISTINCT rule_title, user_id FROM a)
+SELECT rule_title, user_id, lower(lpad(to_hex(CAST(list_reduce(list_prepend({A.FNV_START}::UHUGEINT, list_transform({_BYTES}, lambda x: x::UHUGEINT)),
+  lambda h, b: (xor(h, b) * {A.FNV_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT) AS UBIGINT)), 16, '0')) AS fingerprint FROM d""")
 def _(spark, sf):
     return A.dedup(alerts(spark, sf), ["rule_title", "user_id"], DAY).select("rule_title", "user_id", "fingerprint").distinct()
 
@@ -108,7 +113,13 @@ def _(spark, sf):
     return A.incidents(alerts(spark, sf), ["user_id"], DAY).select("user_id", "start_ts", "end_ts", "n_alerts", "n_rules")
 
 
-@_query("incident_entity_graph")
+@_query("incident_entity_graph", f"""WITH RECURSIVE {SQL_ALERTS},
+v AS (SELECT seq, 'b' || CAST(ts // 3600 AS VARCHAR) AS value FROM a UNION SELECT seq, 'c' || CAST(CAST(round_even(value * 100, 0) AS BIGINT) AS VARCHAR) FROM a WHERE round_even(value * 100, 0) <> 0),
+n AS (SELECT row_number() OVER (ORDER BY value) AS id, value FROM (SELECT value FROM v GROUP BY 1 HAVING count(*) > 1)),
+e AS (SELECT v.seq, n.id FROM v JOIN n USING (value)), link AS (SELECT DISTINCT x.id AS p, y.id AS q FROM e x JOIN e y USING (seq) WHERE x.id <> y.id),
+reach AS (SELECT id AS p, id AS q FROM n UNION SELECT r.p, link.q FROM reach r JOIN link ON link.p = r.q),
+least AS (SELECT r.p, min(e.seq) AS low FROM reach r JOIN e ON e.id = r.q GROUP BY 1)
+SELECT a.seq, coalesce(min(least.low), a.seq) AS incident FROM a LEFT JOIN e ON e.seq = a.seq LEFT JOIN least ON least.p = e.id GROUP BY a.seq""")
 def _(spark, sf):
     a = alerts(spark, sf).withColumns({"bucket": F.floor(F.col("ts") / 3600), "cents": F.round(F.col("value") * 100).cast("long")})
     return A.entity_incidents(a, A.EntityGraph(["bucket", "cents"], stop_values=["0"]))
@@ -147,7 +158,11 @@ def _(spark, sf):
     return risk.risk_incidents(_scored(spark, sf), ["user_id"], DAY, 160.0, 3).select("seq", "user_id", "total", "trigger")
 
 
-@_query("risk_incident_cooldown")
+@_query("risk_incident_cooldown", f"""{SQL_RISK.replace('WITH', 'WITH RECURSIVE', 1)},
+c AS (SELECT user_id, list({{seq: seq, ts: ts, total: total, n: n_tactics}} ORDER BY ts, seq) AS x FROM w WHERE total >= 100 OR n_tactics >= 3 GROUP BY 1),
+s AS (SELECT user_id, x, x[1] AS cur FROM c UNION ALL
+  SELECT user_id, x, list_filter(x, lambda y: y.ts >= cur.ts + {2 * DAY})[1] FROM s WHERE len(list_filter(x, lambda y: y.ts >= cur.ts + {2 * DAY})) > 0)
+SELECT cur.seq AS seq, cur.ts AS ts, user_id, cur.total AS total, CASE WHEN cur.total >= 100 THEN 'score' ELSE 'tactic_count' END AS trigger FROM s""")
 def _(spark, sf):
     return risk.risk_incidents(_scored(spark, sf), ["user_id"], DAY, 100.0, 3, cooldown_s=2 * DAY).select("seq", "ts", "user_id", "total", "trigger")
 

@@ -248,7 +248,18 @@ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS
 p AS (SELECT o.user_id, o.i, (SELECT min(x.i) FROM o x WHERE x.user_id = o.user_id AND x.i > o.i AND x.t - o.t >= 432000) AS next FROM o),
 r AS (SELECT user_id, CAST(1 AS BIGINT) AS i FROM o WHERE i = 1 UNION ALL SELECT p.user_id, p.next FROM r JOIN p ON p.user_id = r.user_id AND p.i = r.i WHERE p.next IS NOT NULL)
 SELECT o.event_id, o.user_id, CAST(o.n AS DOUBLE) AS value FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i""")
-_folded("corr_reset", "action: reset")
+LISTED = f"WITH RECURSIVE c AS (SELECT CAST(user_id AS VARCHAR) AS user_id, list({{{{id: event_id, t: {TS}}}}} ORDER BY {TS}, event_id) AS x FROM events{{where}} GROUP BY 1)"
+# one step per event: the event that waits for a second one, until that fires or comes too late
+_folded("corr_reset", "action: reset", LISTED.format(where=" WHERE event_type = 'error'") + """,
+s AS (SELECT user_id, x, 1 AS i, false AS fires, x[1].t AS waits FROM c
+  UNION ALL SELECT user_id, x, i + 1, coalesce(x[i + 1].t - waits <= 172800, false), CASE WHEN coalesce(x[i + 1].t - waits <= 172800, false) THEN NULL ELSE x[i + 1].t END FROM s WHERE i < len(x))
+SELECT x[i].id AS event_id, user_id, 2.0::DOUBLE AS value FROM s WHERE fires""")
+# one step per event: its session's start and its place in it
+ORACLES["corr_session_cap"] = LISTED.format(where="") + """,
+s AS (SELECT user_id, x, 1 AS i, x[1].t AS began, 1 AS n FROM c
+  UNION ALL SELECT user_id, x, i + 1, CASE WHEN x[i + 1].t - x[i].t > 28800 OR x[i + 1].t - began > 43200 THEN x[i + 1].t ELSE began END,
+    CASE WHEN x[i + 1].t - x[i].t > 28800 OR x[i + 1].t - began > 43200 THEN 1 ELSE n + 1 END FROM s WHERE i < len(x))
+SELECT x[i].id AS event_id, user_id, n::DOUBLE AS value FROM s WHERE n >= 3"""
 
 
 @_query("corr_chain", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlight.operators import correlate as C
 from spanlight.operators.detect import matching
-from spanlight.rules import analysis, lucene, pipeline
+from spanlight.rules import analysis, lint, lucene, pipeline
 from spanlight.rules.model import Collection, load_rules
 from spanlight.session import scratch, table
 from spanlight.streaming import detect as streams
@@ -96,10 +96,64 @@ def _(spark, sf):
     return matching(events, Collection([tuned]), tuned).select("event_id")
 
 
-@_query("rule_lint")
+LINTED = """
+title: ''
+status: odd
+date: 2024-13-40
+modified: 2024-01-02
+Author: x
+tags: [A, attack.t1059, attack.t1059, foo.bar]
+level: odd
+logsource: {category: DNS}
+detection: {s: {x|all: 1, y: [], z: '**', 'q|contains|endswith': a, 'k[any]': b}, t: {}, condition: s and u}
+---
+title: second
+id: 1
+description: d
+author: a
+date: 2024/02/01
+modified: 2024/01/01
+status: deprecated
+related: [{id: 1, type: other}, {id: 2}]
+detection: {s: [{a: [b, null]}], condition: 's | count() > 3'}
+---
+title: c
+id: 1
+correlation: {type: value_sum, rules: [second, nobody], timespan: 5x, window: session, condition: {gte: many, near: 2}, generate: 'yes'}
+---
+title: f
+level: low
+filter: {rules: [], condition: s}
+---
+- no mapping
+---
+title: clean
+id: 11111111-2222-3333-4444-555555555555
+description: says what it finds
+author: somebody
+status: test
+level: low
+logsource: {category: web}
+detection: {s: {a: b}, condition: s}
+"""
+FINDINGS = {
+    "": "array_matching_without_version condition_references_unknown duplicate_tags empty_selection empty_title empty_value_list incompatible_modifiers invalid_date invalid_level invalid_status invalid_tag "
+        "logsource_value_not_lowercase missing_author missing_description non_lowercase_key not_a_mapping single_value_all_modifier unknown_tag_namespace unused_selection wildcard_only_value",
+    "second": "deprecated_aggregation_syntax invalid_id invalid_related_id invalid_related_type missing_level missing_logsource modified_before_date null_in_value_list related_missing_required",
+    "c": "condition_value_not_numeric duplicate_id generate_not_boolean invalid_condition_operator invalid_id invalid_timespan_format missing_author missing_condition_field missing_description missing_group_by missing_session_gap unknown_rule_reference",
+    "f": "condition_references_unknown empty_filter_rules filter_has_level missing_author missing_description missing_filter_logsource missing_filter_selection",
+}
+
+
+@_query("rule_lint", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, codes in FINDINGS.items() for c in codes.split()) + ") v(rule, code)")
+def _(spark, sf):
+    return spark.createDataFrame([(f.rule, f.code) for f in lint.lint_text(LINTED)], "rule string, code string").distinct()
+
+
+@_query("rule_lint_compiled", "SELECT * FROM (VALUES ('a', 'missing_id'), ('a', 'invalid_level'), ('a', 'unused_selection'), ('a', 'duplicate_title'), ('a', 'invalid_id'), ('a', 'missing_logsource'), ('a', 'invalid_tag')) v(rule, code)")
 def _(spark, sf):
     found = analysis.lint(load_rules("title: a\nlevel: odd\ndetection: {s: {x: 1}, t: {y: 1}, condition: s}\n---\ntitle: a\nid: 1\ntags: [A]\ndetection: {s: {x: 1}, condition: s}"))
-    return spark.createDataFrame([(f.rule, f.code, f.message) for f in found], "rule string, code string, message string")
+    return spark.createDataFrame([(f.rule, f.code) for f in found], "rule string, code string").distinct()
 
 
 def _correlation_sql(name: str, body: str, sql: str, columns: list[str]) -> None:

@@ -272,6 +272,17 @@ def read_document(doc: dict) -> Rule | Correlation | Filter:
     )
 
 
+class _Loader(yaml.SafeLoader):
+    """YAML in which days stay texts, so that one that does not exist spoils no document."""
+
+
+_Loader.yaml_implicit_resolvers = {c: [(tag, r) for tag, r in rules if tag != "tag:yaml.org,2002:timestamp"] for c, rules in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+
+def yaml_documents(text: str) -> list:
+    return list(yaml.load_all(text, _Loader))  # noqa: S506 - a safe loader
+
+
 def load_rules(text: str) -> Collection:
     """Read multi-document YAML; ``action: global`` merges into the following documents, ``reset`` ends that,
     ``repeat`` merges into the document before. Documents that cannot be used are collected as errors."""
@@ -279,7 +290,7 @@ def load_rules(text: str) -> Collection:
     shared: dict = {}
     last: dict = {}
     try:
-        documents = list(yaml.safe_load_all(text))
+        documents = yaml_documents(text)
     except yaml.YAMLError as problem:
         out.errors.append(str(problem))
         return out
