@@ -14,11 +14,13 @@ transformation without any shuffle.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.session import ship_package
@@ -206,15 +208,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 _ENCODERS: dict = {}
+ENDINGS = ("tiktoken", "json", "model")
+
+
+def ship_vocabulary(spark: SparkSession, name: str, folder: str = TOKENIZER_DIR) -> None:
+    """Send a tokenizer's file from the driver to the executors, once per application."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_spanlight_vocabularies", set())
+    for end in ENDINGS:
+        path = f"{folder}/{name}.{end}"
+        if path not in sent and os.path.exists(path):
+            context.addFile(path)
+            sent.add(path)
+
+
+def _vocabulary_folder(name: str, folder: str) -> str:
+    """Where a tokenizer's file lies: among the files sent with the application, else in ``folder``."""
+    try:
+        own = SparkFiles.getRootDirectory()
+    except Exception:  # noqa: BLE001 - outside of an application
+        return folder
+    return own if any(os.path.exists(f"{own}/{name}.{end}") for end in ENDINGS) else folder
 
 
 def encoder(name: str, folder: str = TOKENIZER_DIR):
     """Two functions of a named public tokenizer, text -> ids and text -> number of ids; one pair per process."""
     made = _ENCODERS.get((name, folder))
     if made is None:
-        import os
-
-        ranks, plain, pieces = (f"{folder}/{name}.{end}" for end in ("tiktoken", "json", "model"))
+        at = _vocabulary_folder(name, folder)
+        ranks, plain, pieces = (f"{at}/{name}.{end}" for end in ENDINGS)
         if os.path.exists(ranks):
             trie = TrieEncoder(load_ranks(ranks))
             made = trie.encode, trie.count
@@ -239,10 +261,11 @@ def encoder(name: str, folder: str = TOKENIZER_DIR):
 def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key, ids`` of every row: the token ids of its text without special tokens.
 
-    Null and empty texts have an empty list; blank texts are encoded as they are. The vocabulary files must
-    lie in ``folder`` on every executor.
+    Null and empty texts have an empty list; blank texts are encoded as they are. The vocabulary is sent to the executors
+    from the driver's ``folder``.
     """
     ship_package(df.sparkSession)
+    ship_vocabulary(df.sparkSession, tokenizer, folder)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +282,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
 def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key, n_tokens`` of every row; 0 for null and empty texts."""
     ship_package(df.sparkSession)
+    ship_vocabulary(df.sparkSession, tokenizer, folder)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,7 +135,7 @@ def pack(sizes: DataFrame, key: str, n: str, capacity: int) -> DataFrame:
     counts.pop(0, None)
     slot_size, slot_rank, slot_container, slot_use, containers = _slots(best_two_fit(counts, capacity))
     width = np.int64(total + 1)
-    slot_key = slot_size * width + slot_rank
+    shared = sizes.sparkSession.sparkContext.broadcast((slot_size * width + slot_rank, slot_rank, slot_container, slot_use))
     salts = max(8, total // ROWS_PER_SALT)
 
     # the rank of an item within its size, without gathering a size in one task
@@ -152,6 +152,7 @@ def pack(sizes: DataFrame, key: str, n: str, capacity: int) -> DataFrame:
     kind = sizes.schema[key].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot_key, slot_rank, slot_container, slot_use = shared.value
         for batch in batches:
             size = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             rank = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
