@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.operators import stix
+from spanlight.operators import orphans, stix
 from spanlight.session import table
 
 QUERIES: dict = {}
@@ -57,30 +57,36 @@ m AS (SELECT b.user_id, b.t AS f, least(max(a.t) FILTER (a.event_type = 'error')
   FROM x a JOIN x b ON a.user_id = b.user_id AND a.t <= b.t GROUP BY b.user_id, b.event_id, b.t HAVING count(DISTINCT a.event_type) = 3) SELECT DISTINCT user_id, s AS start_us, f AS end_us FROM m WHERE f - s <= 43200000000""")
 
 
+REFERRING = {"stix_objects": ["created_by_ref"], "observed_data": ["created_by_ref", "object_refs"], "sightings": ["created_by_ref", "sighting_of_ref", "observed_data_refs"], "stix_reports": ["created_by_ref", "object_refs"]}
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "sightings")
-    return s.where("sighting_of_ref is not null and trim(sighting_of_ref) <> ''").select(F.lower(F.trim("id")).alias("src"), F.lit("sighting-of").alias("rel_type"), F.lower(F.trim("sighting_of_ref")).alias("dst")).distinct()
+    """Every reference of the four tables: ``src, rel_type, dst``, ids trimmed and in lower case."""
+    refs = orphans.references([orphans.Referring(n, table(spark, sf, n), f) for n, f in REFERRING.items()])
+    return refs.select(orphans.clean_id(F.col("record_id")).alias("src"), F.col("ref_field").alias("rel_type"), F.col("target_id").alias("dst")).where("src is not null").distinct()
 
 
-SQL_EDGES = "g AS (SELECT DISTINCT lower(trim(id)) AS src, lower(trim(sighting_of_ref)) AS dst FROM sightings WHERE trim(sighting_of_ref) <> '')"
-SQL_START = "s AS (SELECT dst AS id FROM g GROUP BY 1 ORDER BY count(*) DESC, dst LIMIT 3)"
+_ID = "nullif(lower(trim({0}, E' \\t\\n\\r')), '')"
+SQL_EDGES = "g AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(
+    f"SELECT {_ID.format('id')} AS src, '{f}' AS rel_type, {_ID.format('x')} AS dst FROM (SELECT id, {f'unnest({f})' if f.endswith('refs') else f} AS x FROM {n} WHERE added_at IS NOT NULL)" for n, fields in REFERRING.items() for f in fields
+) + ") WHERE src IS NOT NULL AND dst IS NOT NULL)"
+SQL_START = f"s AS (SELECT DISTINCT {_ID.format('id')} AS id FROM stix_objects WHERE rec_no % 100 = 0 AND trim(id) <> '')"
 
 
-def _start(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(3).select("id")
+def _start(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects that are asked for: those of every hundredth stored version."""
+    return table(spark, sf, "stix_objects").where("rec_no % 100 = 0").select(orphans.clean_id(F.col("id")).alias("id")).where("id is not null").distinct()
 
 
-@_query("graph_neighbours", f"WITH {SQL_EDGES}, {SQL_START} SELECT src, 'sighting-of' AS rel_type, dst FROM g WHERE dst IN (SELECT id FROM s)")
+@_query("graph_neighbours", f"WITH {SQL_EDGES}, {SQL_START} SELECT src, rel_type, dst FROM g WHERE rel_type IN ('object_refs', 'sighting_of_ref') AND (dst IN (SELECT id FROM s) OR src IN (SELECT id FROM s))")
 def _(spark, sf):
-    edges = _edges(spark, sf)
-    return stix.neighbours(edges, _start(edges), "in", ["sighting-of"])
+    return stix.neighbours(_edges(spark, sf), _start(spark, sf), "both", ["object_refs", "sighting_of_ref"])
 
 
 @_query("graph_expand", f"""WITH RECURSIVE {SQL_EDGES}, {SQL_START}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
 r AS (SELECT id, 0 AS depth FROM s UNION SELECT b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.id WHERE r.depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY 1""")
 def _(spark, sf):
-    edges = _edges(spark, sf)
-    return stix.expand(edges, _start(edges), 3)
+    return stix.expand(_edges(spark, sf), _start(spark, sf), 3)
 
 
 @_query("graph_reference_edges", "SELECT src, path, count(*) AS n FROM (SELECT id AS src, 'created_by_ref' AS path, created_by_ref AS dst FROM sightings UNION ALL SELECT id, 'sighting_of_ref', sighting_of_ref FROM sightings UNION ALL SELECT id, 'observed_data_refs', unnest(observed_data_refs) FROM sightings) WHERE dst IS NOT NULL GROUP BY 1, 2")
