@@ -148,7 +148,8 @@ def windowed(rows: DataFrame, correlation: Correlation) -> DataFrame:
         if correlation.type == "temporal_ordered":
             fires = fires & in_order(F.col("history"), correlation.rules)
     else:
-        placed = placed.withColumn("value", aggregate(correlation, w))
+        most = correlation.attributes.get("max_group_entries")
+        placed = placed.withColumn("value", aggregate(correlation, w) if most is None else newest_entries(correlation, placed, int(most)))
         value = F.col("value")
         fires = compare(value, correlation.predicates)
     out = placed.withColumn("value", value).withColumn("fires", F.coalesce(fires, F.lit(False)))
@@ -157,6 +158,28 @@ def windowed(rows: DataFrame, correlation: Correlation) -> DataFrame:
     return out.drop("fired", "history", "own", "place", "block", "tie")
 
 
+def newest_entries(correlation: Correlation, placed: DataFrame, most: int) -> Column:
+    """The aggregate over no more than the ``most`` newest entries of a window: older ones are dropped from it, as an engine
+    with bounded state does (attribute ``max_group_entries``). A row carries at most that many entries."""
+    if most < 1 or correlation.type not in ("event_count", "value_count", "value_sum", "value_avg"):
+        raise RuleError(f"max_group_entries does not go with {correlation.type}")
+    sliding = "place" in placed.columns
+    order = ["place"] if sliding else ["ts", "seq", "rule"]
+    rows = Window.partitionBy(*_keys(correlation), "block" if sliding else "bucket").orderBy(*order).rowsBetween(-(most - 1), 0)
+    parts = [F.col(f"v{i}") for i in range(len(correlation.fields))]
+    value = F.lit(1.0) if not parts else parts[0] if len(parts) == 1 else F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("\u001f", *parts))
+    entries = F.collect_list(F.struct((F.col("place") if sliding else F.lit(0)).alias("at"), value.alias("v"))).over(rows)
+    if sliding:
+        entries = F.filter(entries, lambda e: e.at >= F.col("place") - F.lit(correlation.timespan * TIE + SPARE))
+    present = F.filter(F.transform(entries, lambda e: e.v), lambda v: v.isNotNull())
+    if correlation.type == "event_count":
+        return F.size(entries).cast("double")
+    if correlation.type == "value_count":
+        return F.size(F.array_distinct(present)).cast("double")
+    total = F.aggregate(present, F.lit(0.0), lambda a, v: a + v)
+    return total if correlation.type == "value_sum" else F.when(F.size(present) > 0, total / F.size(present)).otherwise(0.0)
+
+
 def _sliding(rows: DataFrame, keys: list[str], span: int) -> tuple[DataFrame, Window]:
     """Rows with a unique place in time, and a range window that ends at the row itself.
 
@@ -277,6 +300,43 @@ def fold(rows: DataFrame, correlation: Correlation) -> DataFrame:
     return split.groupBy(*keys, "__i").applyInPandas(lambda pdf: run(pdf.drop(columns="__i")), schema)
 
 
+MAX_CHAIN = 10  # fixed value: how deep correlations may stand on correlations
+
+
+def chain_order(collection: Collection) -> list[Correlation]:
+    """The correlations, those that others refer to first; an error for circles and for chains deeper than ``MAX_CHAIN``."""
+    named = {n: c for c in collection.correlations for n in (c.title, c.name, c.id) if n}
+    depth: dict[int, int] = {}
+
+    def deep(c: Correlation, above: tuple[int, ...]) -> int:
+        if id(c) in above:
+            raise RuleError(f"{c.key!r} refers to itself")
+        if len(above) >= MAX_CHAIN:
+            raise RuleError(f"more than {MAX_CHAIN} correlations stand on each other")
+        if id(c) not in depth:
+            depth[id(c)] = 1 + max([deep(named[r], (*above, id(c))) for r in c.rules if r in named], default=0)
+        return depth[id(c)]
+
+    return sorted(collection.correlations, key=lambda c: deep(c, ()))
+
+
+def correlate_all(events: DataFrame, collection: Collection, time: str, seq: str, json: set[str] = frozenset(), mapping: dict | None = None) -> dict[str, DataFrame]:
+    """The firings of every correlation of a collection by its key; correlations of correlations get those of the ones they refer to.
+
+    A correlation refers either to rules or to correlations with the same group keys."""
+    named = {n: c.key for c in collection.correlations for n in (c.title, c.name, c.id) if n}
+    out: dict[str, DataFrame] = {}
+    for c in chain_order(collection):
+        below = [r for r in c.rules if r in named]
+        if not below:
+            out[c.key] = correlate(events, collection, c, time, seq, json, mapping)
+        elif len(below) == len(c.rules):
+            out[c.key] = chain([(r, out[named[r]]) for r in below], c)
+        else:
+            raise RuleError(f"{c.key!r} mixes rules and correlations")
+    return out
+
+
 def chain(fired: list[tuple[str, DataFrame]], correlation: Correlation) -> DataFrame:
     """A correlation over the firings of others: ``fired`` are their names and results; keys are taken over."""
     keys = _keys(correlation)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,6 +264,42 @@ s AS (SELECT user_id, x, 1 AS i, x[1].t AS began, 1 AS n FROM c
 SELECT x[i].id AS event_id, user_id, n::DOUBLE AS value FROM s WHERE n >= 3"""
 
 
+NEWEST = """WITH m AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, value, {ts} AS t FROM events),
+p AS (SELECT a.event_id, a.user_id, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY b.t DESC, b.event_id DESC) AS back FROM m a JOIN m b
+  ON a.user_id = b.user_id AND b.t BETWEEN a.t - 864000 AND a.t AND (b.t < a.t OR b.event_id <= a.event_id))
+SELECT event_id, user_id, {value} AS value FROM p WHERE back <= 3 GROUP BY 1, 2 HAVING {value} >= {least}"""
+
+
+def _newest(name: str, condition: str, value: str, least: float) -> None:
+    rules = _rule(BASE + f"---\ntitle: corr\ncorrelation: {{{condition}, rules: [all], group-by: [user_id], timespan: 10d}}\ncustom_attributes: {{max_group_entries: 3}}")
+
+    @_query(name, NEWEST.format(ts=TS, value=value, least=least))
+    def _(spark, sf):
+        out = C.correlate(table(spark, sf, "events"), rules, rules.correlations[0], "ts", "event_id")
+        return out.select(F.col("seq").alias("event_id"), F.col("k0").alias("user_id"), F.round("value", 4).alias("value"))
+
+
+_newest("corr_newest_entries_count", "type: event_count, condition: {gte: 2}", "count(*)::DOUBLE", 2)
+_newest("corr_newest_entries_sum", "type: value_sum, condition: {gte: 150, field: value}", "round(coalesce(sum(value), 0), 4)", 150)
+
+
+@_query("corr_all", f"""
+WITH m AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, {TS} AS t FROM events WHERE event_type = 'error'),
+f AS (SELECT a.event_id, a.user_id, a.t, count(*) AS n FROM m a JOIN m b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 172800 AND a.t AND (b.t < a.t OR b.event_id <= a.event_id) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+g AS (SELECT a.event_id, a.user_id, count(*) AS n FROM f a JOIN f b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 432000 AND a.t AND (b.t < a.t OR b.event_id <= a.event_id) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT 'inner' AS correlation, event_id, user_id, n::DOUBLE AS value FROM f UNION ALL SELECT 'outer', event_id, user_id, n::DOUBLE FROM g""")
+def _(spark, sf):
+    rules = _rule(BASE + """---
+title: outer
+correlation: {type: event_count, rules: [inner], group-by: [user_id], timespan: 5d, condition: {gte: 2}}
+---
+title: inner
+correlation: {type: event_count, rules: [errors], group-by: [user_id], timespan: 2d, condition: {gte: 2}}
+""")
+    fired = C.correlate_all(table(spark, sf, "events"), rules, "ts", "event_id")
+    return reduce(DataFrame.unionByName, fired.values()).select("correlation", F.col("seq").alias("event_id"), F.col("k0").alias("user_id"), "value")
+
+
 @_query("corr_chain", f"""
 WITH m AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, {TS} AS t FROM events WHERE event_type = 'error'),
 f AS (SELECT a.event_id, a.user_id, a.t FROM m a JOIN m b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 172800 AND a.t AND (b.t < a.t OR b.event_id <= a.event_id) GROUP BY 1, 2, 3 HAVING count(*) >= 2)

@@ -172,6 +172,27 @@ _correlation_sql("export_sql_session", "{type: event_count, rules: [errors], gro
 r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM c) SELECT user_id, min(t) AS start_s, max(t) AS end_s, count(*) AS value FROM r GROUP BY user_id, s HAVING count(*) >= 2 AND max(t) - min(t) <= 864000""", ["user_id", "start_s", "end_s", "value"])
 
 
+@_query("export_sql_temporal_tables", f"""WITH m AS (SELECT 'errors' AS r, {SECONDS} AS t FROM events WHERE event_type = 'error' UNION ALL SELECT 'big', CAST(floor(epoch_us(o_orderdate::TIMESTAMP) / 1000000) AS BIGINT) FROM orders WHERE o_totalprice >= 250000)
+SELECT t // 86400 * 86400 AS start_s, count(DISTINCT r) AS value, min(t) AS first_seen, max(t) AS last_seen FROM m GROUP BY 1 HAVING count(DISTINCT r) >= 1""")
+def _(spark, sf):
+    """A temporal correlation whose rules read different tables."""
+    rules = load_rules("""
+title: errors
+name: errors
+detection: {s: {event_type: error}, condition: s}
+---
+title: big
+name: big
+detection: {s: {o_totalprice|gte: 250000}, condition: s}
+---
+title: c
+correlation: {type: temporal, rules: [errors, big], timespan: 1d, window: tumbling}
+""")
+    table(spark, sf, "events").createOrReplaceTempView("spanlight_events")
+    table(spark, sf, "orders").withColumnRenamed("o_orderdate", "ts").createOrReplaceTempView("spanlight_orders")
+    return spark.sql(lucene.correlation_to_sql(rules, rules.correlations[0], {"errors": "spanlight_events", "big": "spanlight_orders"}, "ts")).selectExpr("start_s", "CAST(value AS bigint) AS value", "first_seen", "last_seen")
+
+
 @_query("logsource_extract", "SELECT coalesce(nullif(trim(category), ''), 'none') AS category, 'lab' AS product, count(*) AS n FROM security_events GROUP BY 1")
 def _(spark, sf):
     from spanlight.rules.compile import extract_logsource

@@ -209,9 +209,10 @@ AGGREGATES = {
 SIGNS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "neq": "<>"}
 
 
-def correlation_to_sql(collection: Collection, correlation: Correlation, source: str, time: str) -> str:
+def correlation_to_sql(collection: Collection, correlation: Correlation, source: str | dict[str, str], time: str) -> str:
     """A Spark SQL query for a correlation: the union of its rules' matches, then a range window (sliding), a bucket
-    (tumbling), or gap-cut runs (session). ``time`` is a timestamp column. Unlike the engine it counts events of the same
+    (tumbling), or gap-cut runs (session). ``source`` is a table, or the table of each rule. ``time`` is a timestamp
+    column. Temporal correlations give the first and last time seen in buckets and sessions. Unlike the engine it counts events of the same
     second that come later, and a session's cap filters instead of splitting."""
     if correlation.type not in AGGREGATES or correlation.expression is not None:
         raise RuleError(f"no SQL text for {correlation.type}")
@@ -222,7 +223,7 @@ def correlation_to_sql(collection: Collection, correlation: Correlation, source:
         keys = [f"`{own.get(reference, g)}` AS `{g}`" for g, own in zip(correlation.group_by, fields, strict=True)]
         value = [f"`{f}`" for f in correlation.fields]
         columns = ", ".join([f"{_quote(reference)} AS rule_name", f"unix_seconds(CAST({time} AS timestamp)) AS ts", *keys, *value])
-        legs.append(to_sql(Rule(rule.title, rule.detection, rule.conditions), source, columns))
+        legs.append(to_sql(Rule(rule.title, rule.detection, rule.conditions), source if isinstance(source, str) else source[reference], columns))
     by = ", ".join(f"`{g}`" for g in correlation.group_by)
     field = f"`{correlation.fields[0]}`" if correlation.fields else "1"
     span, share = correlation.timespan, correlation.percentile / 100
@@ -233,7 +234,8 @@ def correlation_to_sql(collection: Collection, correlation: Correlation, source:
     lead = f"{by}, " if by else ""
     if correlation.window == "tumbling":
         value = aggregate.format(over="", field=field, share=share)
-        return f"{head} SELECT * FROM (SELECT {lead}ts div {span} * {span} AS start_s, {value} AS value FROM matched GROUP BY {lead}ts div {span} * {span}) WHERE {test}"
+        seen = ", min(ts) AS first_seen, max(ts) AS last_seen" if correlation.type == "temporal" else ""
+        return f"{head} SELECT * FROM (SELECT {lead}ts div {span} * {span} AS start_s, {value} AS value{seen} FROM matched GROUP BY {lead}ts div {span} * {span}) WHERE {test}"
     if correlation.window == "session":
         gap = correlation.gap if correlation.gap is not None else span
         value = aggregate.format(over="", field=field, share=share)

@@ -105,3 +105,40 @@ class Sources:
                 return extract(self.get(whole[1]), whole[2]) if whole[2] else self.get(whole[1])
             return re.sub(r"\$\{source\.([\w-]+)((?:[.\[][^}]*)?)\}", lambda m: str(extract(self.get(m[1]), m[2]) if m[2] else self.get(m[1])), value)
         return value
+
+
+def expand_includes(document: Any, folder: str, above: tuple[str, ...] = ()) -> Any:
+    """A document with every ``include: file`` (or list of files) mapping replaced by what the files hold: mappings are merged,
+    the document's own members winning; a list element that is only an include is replaced by the file's elements.
+
+    Files are relative to ``folder`` and may not lie outside of it; files that include each other are an error.
+    """
+    def read(name: str) -> Any:
+        root = Path(folder).resolve()
+        path = (root / name).resolve()
+        if not path.is_relative_to(root):
+            raise ValueError(f"{name} lies outside of {folder}")
+        if str(path) in above:
+            raise ValueError(f"{name} includes itself")
+        kind = "json" if path.suffix == ".json" else "yaml"
+        return expand_includes(parse_data(path.read_text(encoding="utf-8"), kind), folder, (*above, str(path)))
+
+    if isinstance(document, list):
+        out: list = []
+        for x in document:
+            if isinstance(x, dict) and set(x) == {"include"}:
+                for name in x["include"] if isinstance(x["include"], list) else [x["include"]]:
+                    held = read(name)
+                    out += held if isinstance(held, list) else [held]
+            else:
+                out.append(expand_includes(x, folder, above))
+        return out
+    if isinstance(document, dict):
+        merged: dict = {}
+        for name in document["include"] if isinstance(document.get("include"), list) else [document["include"]] if isinstance(document.get("include"), str) else []:
+            held = read(name)
+            if not isinstance(held, dict):
+                raise ValueError(f"{name} is no mapping")
+            merged |= held
+        return merged | {k: expand_includes(v, folder, above) for k, v in document.items() if k != "include"}
+    return document

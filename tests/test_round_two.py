@@ -254,3 +254,29 @@ def test_running_sums_with_null_keys_and_clashing_names(spark):
         sums[k, j] = sums.get((k, j), 0) + v
         want[k, j, t] = sums[k, j]
     assert got == want
+
+
+# -- chains and includes ----------------------------------------------------------------------------------
+def test_chains_have_an_order_and_no_circles():
+    from spanlight.operators import correlate
+
+    text = "title: {0}\ncorrelation: {{type: event_count, rules: [{1}], timespan: 1h, condition: {{gte: 1}}}}"
+    rules = load_rules("\n---\n".join(text.format(a, b) for a, b in (("c", "b"), ("b", "a"), ("a", "rule"))))
+    assert [c.title for c in correlate.chain_order(rules)] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="itself"):
+        correlate.chain_order(load_rules("\n---\n".join(text.format(a, b) for a, b in (("x", "y"), ("y", "x")))))
+    with pytest.raises(ValueError, match="stand on"):
+        correlate.chain_order(load_rules("\n---\n".join(text.format(f"c{i}", f"c{i + 1}") for i in range(12))))
+
+
+def test_includes(tmp_path):
+    from spanlight.sources import dynamic
+
+    (tmp_path / "a.yml").write_text("x: 1\ny: {include: b.json}\n")
+    (tmp_path / "b.json").write_text('{"z": [1, 2]}')
+    (tmp_path / "list.yml").write_text("- p\n- q\n")
+    (tmp_path / "self.yml").write_text("include: self.yml\n")
+    assert dynamic.expand_includes({"include": "a.yml", "x": 2, "k": ["o", {"include": "list.yml"}]}, str(tmp_path)) == {"x": 2, "y": {"z": [1, 2]}, "k": ["o", "p", "q"]}
+    for bad in ("self.yml", "../outside.yml"):
+        with pytest.raises(ValueError):
+            dynamic.expand_includes({"include": bad}, str(tmp_path))
