@@ -131,10 +131,10 @@ def _(spark, sf):
 
 
 @_query("risk_objects", """SELECT event_id, t.type AS type, t.value AS value FROM (
-  SELECT event_id, unnest([{type: 'user', value: lower(trim(actor_user_name))}, {type: 'host', value: lower(trim(src_hostname))}, {type: 'host', value: lower(trim(dst_hostname))}]) AS t FROM security_events WHERE action = 'blocked')
+  SELECT event_id, unnest([{type: 'user', value: lower(trim(actor_user_name))}, {type: 'host', value: lower(trim(src_hostname))}, {type: 'host', value: lower(trim(dst_hostname))}]) AS t FROM security_events)
 WHERE t.value IS NOT NULL AND t.value <> '' GROUP BY ALL""")
 def _(spark, sf):
-    rows = table(spark, sf, "security_events").where("action = 'blocked'")
+    rows = table(spark, sf, "security_events")
     return rows.select("event_id", F.explode(risk.risk_objects({"user": ["actor_user_name"], "host": ["src_hostname", "dst_hostname"]})).alias("o")).select("event_id", "o.type", "o.value").distinct()
 
 
@@ -264,15 +264,14 @@ def _(spark, sf):
 
 # -- formats ----------------------------------------------------------------------------------------------
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("doc_kind = 'log_excerpt'")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "value"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "value"))
 
 
-SQL_LINES = "l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS value FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines, unnest(generate_series(1, len(string_split_regex(text, '\\r?\\n')))) AS i FROM documents WHERE doc_kind = 'log_excerpt'))"
+SQL_LINES = "l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS value FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines, unnest(generate_series(1, len(string_split_regex(text, '\\r?\\n')))) AS i FROM documents WHERE text IS NOT NULL))"
 SYSLOG_RE = "^<([0-9]{1,3})>([0-9]{4}-[0-9]{2}-[0-9]{2}T[^ ]+) ([^ ]+) ([^:\\[ ]+): ?(.*)$"
 
 
-@_query("format_auto", f"WITH {SQL_LINES} SELECT format, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(ltrim(value), '^[\\{{\\[]') AND json_valid(value) THEN 'json' WHEN regexp_matches(value, '{SYSLOG_RE}') THEN 'syslog' ELSE 'plain' END AS format FROM l WHERE trim(value) <> '') GROUP BY 1")
+@_query("format_auto", f"WITH {SQL_LINES} SELECT format, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(ltrim(value), '^[\\{{\\[]') AND json_valid(value) THEN 'json' WHEN regexp_matches(value, '{SYSLOG_RE}') THEN 'syslog' ELSE 'plain' END AS format FROM l WHERE NOT regexp_full_match(value, ' *')) GROUP BY 1")
 def _(spark, sf):
     return formats.parse_lines(log_lines(spark, sf)).groupBy("format").agg(F.count("*").alias("n"))
 
