@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 from spanlight.rules.fields import Resolver
+from spanlight.rules.match import tokens, wildcard_regex
 from spanlight.rules.model import Filter, Rule, selected
 
 PLAIN = {"contains", "startswith", "endswith", "all", "cased"}
@@ -28,14 +29,23 @@ def _column(name: str, resolver: Resolver) -> str | None:
     return f"`{target}`" if isinstance(resolver.schema[target].dataType, T.StringType) else None
 
 
-def _value(op: str, value: str, cased: bool, column: str) -> str | None:
-    if "*" in value or "?" in value or "\\" in value:
-        core = value.strip("*")
-        if op != "exact" or not core or "*" in core or "?" in core or "\\" in core:
-            return None
-        left, right = value.startswith("*"), value.endswith("*")
-        op, value = ("contains" if left and right else "endswith" if left else "startswith"), core
-    needle = literal(value if cased else value.lower())
+def _value(op: str, value: str, cased: bool, column: str) -> str:
+    parts = tokens(value)
+    if op == "contains":
+        parts = [p for i, p in enumerate(parts) if p != 0 or 0 < i < len(parts) - 1]
+    elif op == "startswith" and parts and parts[-1] == 0:
+        parts = parts[:-1]
+    elif op == "endswith" and parts and parts[0] == 0:
+        parts = parts[1:]
+    texts = [p for p in parts if isinstance(p, str)]
+    if op == "exact" and len(parts) > 1 and len(texts) == 1 and 1 not in parts and all(isinstance(p, str) or i in (0, len(parts) - 1) for i, p in enumerate(parts)):
+        op, parts = ("startswith" if parts[0] != 0 else "endswith" if parts[-1] != 0 else "contains"), texts
+    if not parts or parts == [0]:
+        return f"{column} IS NOT NULL"
+    if len(parts) > 1 or not texts:
+        pattern = wildcard_regex(parts, cased, op in ("exact", "startswith"), op in ("exact", "endswith"))
+        return f"coalesce(rlike({column}, {literal(pattern)}), false)"
+    needle = literal(texts[0] if cased else texts[0].lower())
     text = column if cased else f"lower({column})"
     return f"coalesce({text} = {needle}, false)" if op == "exact" else f"coalesce({op}({text}, {needle}), false)"
 
@@ -55,8 +65,7 @@ def _item(key: str, value, resolver: Resolver) -> str | None:
     if op == "exact" and "all" not in modifiers and len(values) > 1 and not any(c in v for v in values for c in "*?\\"):
         listed = ", ".join(literal(v if cased else v.lower()) for v in values)
         return f"coalesce({column if cased else f'lower({column})'} IN ({listed}), false)"
-    parts = [_value(op, v, cased, column) for v in values]
-    return None if any(p is None for p in parts) else _joined(parts, " AND " if "all" in modifiers else " OR ")
+    return _joined([_value(op, v, cased, column) for v in values], " AND " if "all" in modifiers else " OR ")
 
 
 def _joined(parts: list[str], word: str) -> str:

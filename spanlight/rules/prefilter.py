@@ -144,7 +144,9 @@ def prefilter(rules: list[Rule], resolver: Resolver, leaves: Column, size: int)
         text = F.concat_ws("\n", leaves) if name == KEYWORDS else _field_text(resolver, name)
         if text is None:
             continue
-        pattern = f"(?=({trie_pattern(list(literals))}))"
+        # the first letters once more as a class: most places of a text are dismissed by one look
+        first = "".join(sorted({java_quote(t[0]) for t in literals}))
+        pattern = f"(?=[{first}])(?=({trie_pattern(list(literals))}))"
         lookup = {}
         for literal in literals:  # a longer literal at a place hides those that it begins with
             mine = set().union(*[literals[literal[:n]] for n in range(1, len(literal) + 1) if literal[:n] in literals])
